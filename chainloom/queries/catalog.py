@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import problems
+from . import matching, problems, structure
 
-_MODULES = (problems,)
+_MODULES = (problems, structure, matching)
 
 
 def queries() -> dict[str, Callable]:
