@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import matching, problems, structure
+from . import building, matching, problems, structure
 
-_MODULES = (problems, structure, matching)
+_MODULES = (problems, structure, matching, building)
 
 
 def queries() -> dict[str, Callable]:

@@ -176,11 +176,11 @@ a3 as (select gene_id, case when strand = '+' then 'alt_3prime' else 'alt_5prime
 nt as (select distinct gene_id, seqid, end_pos as donor, nxt as acceptor from pl where nxt > end_pos),
 ir as (select nt.gene_id, 'intron_retention' as event_type, donor || '-' || acceptor as key, x.start_pos, x.end_pos from nt join (select distinct gene_id, seqid, start_pos, end_pos from sx) x on x.gene_id = nt.gene_id and x.seqid = nt.seqid and x.start_pos <= donor and x.end_pos >= acceptor),
 t0 as (select distinct gene_id, seqid, strand, start_pos, end_pos, true as low from sx where pos = 1 union all select distinct gene_id, seqid, strand, start_pos, end_pos, false from sx where pos = n_exons),
-at as (select gene_id, case when low = (strand = '+') then 'alt_first_exon' else 'alt_last_exon' end as event_type, seqid || ':' || strand as key, start_pos, end_pos from (select *, count(*) over (partition by gene_id, seqid, strand, low) as k from t0) where k > 1),
+alx as (select gene_id, case when low = (strand = '+') then 'alt_first_exon' else 'alt_last_exon' end as event_type, seqid || ':' || strand as key, start_pos, end_pos from (select *, count(*) over (partition by gene_id, seqid, strand, low) as k from t0) where k > 1),
 bt as (select distinct gene_id, seqid, l, r, start_pos, end_pos from pl where not terminal),
 mx as (select a.gene_id, 'mutually_exclusive' as event_type, a.l || '|' || a.r || '|' || b.start_pos || '-' || b.end_pos as key, a.start_pos, a.end_pos from bt a join bt b on a.gene_id = b.gene_id and a.seqid = b.seqid and a.l = b.l and a.r = b.r and (a.start_pos, a.end_pos) < (b.start_pos, b.end_pos)
        where not exists (select 1 from sx u join sx v on u.segment_id = v.segment_id and u.gene_id = a.gene_id and u.start_pos = a.start_pos and u.end_pos = a.end_pos and v.start_pos = b.start_pos and v.end_pos = b.end_pos)),
-ev as (select * from ca union all select * from a5 union all select * from a3 union all select * from ir union all select * from at union all select * from mx)
+ev as (select * from ca union all select * from a5 union all select * from a3 union all select * from ir union all select * from alx union all select * from mx)
 """
 
 DTU_SQL = f"""{CORE_SQL}, gr as (select sample_id, min(assay) as g from sample_info group by 1 having min(assay) in {GROUPS}),
@@ -223,7 +223,7 @@ select {_H}, next_start, next_end, n_segments, coalesce(n_samples, 0) as n_sampl
     "ev_cassette": f"{EVENT_SQL} select * from ca",
     "ev_alt_sites": f"{EVENT_SQL} select * from a5 union all select * from a3",
     "ev_intron_retention": f"{EVENT_SQL} select * from ir",
-    "ev_alt_terminal": f"{EVENT_SQL} select * from at",
+    "ev_alt_terminal": f"{EVENT_SQL} select * from alx",
     "ev_mutex": f"{EVENT_SQL} select * from mx",
     "event_types": f"{EVENT_SQL} select event_type, count(*) as n_rows, count(distinct gene_id) as n_genes, round(count(*) * 100.0 / sum(count(*)) over (), 4) as percent from ev group by 1",
     "event_psi": f"""{EVENT_SQL}, tch as (select distinct gene_id, event_type, key, segment_id from ev join (select segment_id, gene_id, start_pos, end_pos from sx) using (gene_id, start_pos, end_pos)),
