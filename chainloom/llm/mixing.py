@@ -6,10 +6,9 @@ times and once more with probability r - floor(r); where r exceeds the source's
 repeat limit, every item is used as often as the limit allows.
 
 The fractional probabilities become 0 or 1 by the cube method's flight phase:
-of three undecided items at a time, the direction that changes neither the sum
-of probabilities nor the expected size is the cross product of (1, 1, 1) and
-the three sizes; the probabilities move along it, one way or the other at
-random, until one of them is decided. Each partition does this for each source
+a direction in the null space of the constraints changes neither the sum of the
+probabilities nor the expected size; the probabilities of a window of undecided
+items move along it, one way or the other at random, until one is decided. Each partition does this for each source
 and is left with at most two undecided items; those of FAN_IN partitions are
 decided together, in a tree. The last undecided items of a source (at most two)
 are the landing problem: the combination nearest to the goal in size is taken.
@@ -35,6 +34,8 @@ from pyspark.sql import functions as F
 from ..plans.durable import durable
 
 FAN_IN = 32
+#: Undecided items that a task holds per source.
+WINDOW = 24
 #: Most target rows; they are read by the driver and sent to all tasks.
 MAX_TARGETS = 10_000
 _EPS = 1e-9
@@ -47,41 +48,73 @@ def source_key(c: Column) -> Column:
 
 
 class Flight:
-    """Decides the items of one source as they come, holding at most three."""
+    """Decides the items of one source as they come, holding at most ``WINDOW`` of them.
+
+    The direction is the part of the largest item's own axis that keeps both sums: that item moves most and all others
+    a little, so that it is decided while there are others to make up for it.
+    """
 
     def __init__(self, rng: np.random.Generator) -> None:
-        self.random, self.held = rng.random, []
+        self.random = rng.random
+        self.items: list[tuple] = []
+        self.p, self.size = np.zeros(WINDOW), np.zeros(WINDOW)
 
     def add(self, item: tuple, p: float, size: float) -> list[tuple]:
         """The items decided by the arrival of this one, as (item, size, 0 or 1)."""
         if p <= _EPS or p >= 1 - _EPS:
             return [(item, size, int(p > 0.5))]
-        self.held.append([item, p, size])
+        n = len(self.items)
+        self.items.append(item)
+        self.p[n], self.size[n] = p, size
         out: list[tuple] = []
-        while len(self.held) == 3:
+        while len(self.items) == WINDOW:
             out += self._move()
         return out
 
+    def finish(self) -> list[tuple]:
+        """Go on without further items until at most two are undecided."""
+        out: list[tuple] = []
+        while len(self.items) > 2:
+            out += self._move()
+        return out
+
+    def left(self) -> list[tuple]:
+        return [(item, float(p), int(s)) for item, p, s in zip(self.items, self.p, self.size)]
+
+    def _direction(self, size: np.ndarray) -> np.ndarray:
+        n = len(size)
+        even = np.full(n, n**-0.5)
+        slope = size - size.mean()
+        norm = float(np.sqrt(slope @ slope))
+        slope = slope / norm if norm > _EPS else np.zeros(n)
+        k = int(size.argmax())
+        free = 1 - 1 / n - slope * slope
+        if free[k] < 1e-6:  # nothing can make up for it; take the item that can move most
+            k = int(free.argmax())
+        u = -even[k] * even - slope[k] * slope
+        u[k] += 1
+        return u
+
     def _move(self) -> list[tuple]:
-        (_, pa, a), (_, pb, b), (_, pc, c) = self.held
-        u = (b - c, c - a, a - b)
-        if not any(u):
-            u = (1.0, -1.0, 0.0)
-        most = least = math.inf
-        for p, d in zip((pa, pb, pc), u):
-            if d > 0:
-                most, least = min(most, (1 - p) / d), min(least, p / d)
-            elif d < 0:
-                most, least = min(most, -p / d), min(least, -(1 - p) / d)
-        step = most if self.random() * (most + least) < least else -least
-        out, left = [], []
-        for h, d in zip(self.held, u):
-            h[1] += step * d
-            if h[1] <= _EPS or h[1] >= 1 - _EPS:
-                out.append((h[0], h[2], int(h[1] > 0.5)))
-            else:
-                left.append(h)
-        self.held = left
+        n = len(self.items)
+        p, size = self.p[:n], self.size[:n]
+        u = self._direction(size)
+        up, down = u > 1e-12, u < -1e-12
+        room = np.full(n, np.inf)
+        room[up], room[down] = (1 - p[up]) / u[up], -p[down] / u[down]
+        back = np.full(n, np.inf)
+        back[up], back[down] = p[up] / u[up], (p[down] - 1) / u[down]
+        most, least = float(room.min()), float(back.min())
+        forward = self.random() * (most + least) < least
+        p += (most if forward else -least) * u
+        # the item that sets the step is decided, whatever rounding says
+        k = int(room.argmin() if forward else back.argmin())
+        p[k] = round(p[k])
+        done = (p <= _EPS) | (p >= 1 - _EPS)
+        out = [(self.items[i], int(size[i]), int(p[i] > 0.5)) for i in np.flatnonzero(done)]
+        keep = np.flatnonzero(~done)
+        self.items = [self.items[i] for i in keep]
+        self.p[: len(keep)], self.size[: len(keep)] = p[keep], size[keep]
         return out
 
 
@@ -98,7 +131,8 @@ def _flyer(seed: int):
                     flight = flights[k] = Flight(np.random.default_rng([seed, part, int(k)]))
                 rows += [(part, k, i, s, w, x, None) for (i, w), s, x in flight.add((item, whole), p, size)]
             yield pd.DataFrame(rows, columns=names)
-        yield pd.DataFrame([(part, k, i, s, w, None, p) for k, f in flights.items() for (i, w), p, s in f.held], columns=names)
+        last = [(part, k, i, s, w, x, None) for k, f in flights.items() for (i, w), s, x in f.finish()]
+        yield pd.DataFrame(last + [(part, k, i, s, w, None, p) for k, f in flights.items() for (i, w), p, s in f.left()], columns=names)
 
     return fly
 
@@ -106,13 +140,14 @@ def _flyer(seed: int):
 def _decider(seed: int, round_no: int, land: bool):
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         """At most 2 * FAN_IN undecided items of one source meet here."""
-        pdf = pdf.sort_values(["item_id", "size"])
+        pdf = pdf.sort_values(["size", "item_id"], ascending=[False, True])
         k, node = int(pdf["source_no"].iloc[0]), int(pdf["node"].iloc[0])
         flight = Flight(np.random.default_rng([seed, node, k, round_no]))
         rows: list[tuple] = []
         for item, size, whole, p in zip(pdf["item_id"], pdf["size"], pdf["whole"], pdf["p"]):
             rows += [(node, k, i, s, w, x, None) for (i, w), s, x in flight.add((item, whole), p, size)]
-        left = flight.held
+        rows += [(node, k, i, s, w, x, None) for (i, w), s, x in flight.finish()]
+        left = flight.left()
         if land and left:
             want = sum(p * s for _, p, s in left)
             choices = [[(n >> j) & 1 for j in range(len(left))] for n in range(1 << len(left))]
@@ -161,7 +196,9 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame
     chances = spark.createDataFrame([(n, math.floor(x["ratio"]), x["ratio"] - math.floor(x["ratio"])) for n, x in enumerate(planned)], "source_no int, whole int, p double")
     item_type = items.schema["item_id"].dataType.simpleString()
     schema = f"node int, source_no int, item_id {item_type}, size bigint, whole int, picked int, p double"
-    flown = durable(sized.join(F.broadcast(chances), "source_no").select("item_id", "source_no", "size", "whole", "p").mapInPandas(_flyer(seed), schema))
+    # large items first: the undecided ones at the end are small, and so is what the landing can miss
+    ordered = sized.join(F.broadcast(chances), "source_no").select("item_id", "source_no", "size", "whole", "p").sortWithinPartitions(F.desc("size"), "item_id")
+    flown = durable(ordered.mapInPandas(_flyer(seed), schema))
     decided, undecided = flown.filter("picked is not null"), flown.filter("picked is null")
     partitions, round_no = max(1, flown.rdd.getNumPartitions()), 0
     while True:
