@@ -44,11 +44,12 @@ def _kind(v: Column) -> Column:
 def fields(records: DataFrame) -> DataFrame:
     """(record_id, file_id, rec_key, field, kind, text) of every top-level field; kind and text are null for JSON null."""
     parsed = records.select("record_id", "file_id", "rec_key", F.json_object_keys("payload").alias("names"), F.try_parse_json("payload").alias("v"))
-    named = parsed.select("record_id", "file_id", "rec_key", "v", F.explode(F.array_distinct("names")).alias("field"))
-    escaped = F.concat(F.lit("$['"), F.regexp_replace("field", r"(['\\])", r"\\$1"), F.lit("']"))
-    value = F.try_variant_get(F.col("v"), escaped, "variant")
-    with_value = named.select("record_id", "file_id", "rec_key", "field", value.alias("value"))
-    return with_value.select("record_id", "file_id", "rec_key", "field", _kind(F.col("value")).alias("kind"), F.col("value").cast("string").alias("text"))
+    whole = parsed.filter("names is not null and v is not null")
+    valued = whole.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer())).select("record_id", "file_id", "rec_key", F.col("key").alias("field"), "value")
+    # payloads that repeat a field have no single value for it, and are no variants
+    bare = parsed.filter("names is not null and v is null").select("record_id", "file_id", "rec_key", F.explode(F.array_distinct("names")).alias("field"), F.lit(None).cast("variant").alias("value"))
+    rows = valued.unionByName(bare)
+    return rows.select("record_id", "file_id", "rec_key", "field", _kind(F.col("value")).alias("kind"), F.col("value").cast("string").alias("text"))
 
 
 def with_previous(files: DataFrame) -> DataFrame:

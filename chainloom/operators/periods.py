@@ -136,40 +136,55 @@ def _unioner(names: list[str]):
 
 
 def _spans(intervals: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
-    """(entity, first, last, gap_starts, gap_ends, before): ``before`` is the last set position of all earlier spans."""
-    names = [*entity, "level", "shard"]
-    ok = intervals.select(*entity, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).dropna().filter(F.col("s") <= F.col("e"))
-    pieces = ok.select(*entity, F.explode(_pieces(0, F.col("s"), F.col("e"))).alias("x")).select(*entity, "x.*")
+    """(k0, k1, ..., first, last, gap_starts, gap_ends, before): ``before`` is the last set position of all earlier spans.
+
+    The entity's columns are called k0, k1, ... here, so that no name of theirs can clash with the others.
+    """
+    own = _own(entity)
+    names = [*own, "level", "shard"]
+    ok = intervals.select(*(F.col(c).alias(k) for c, k in zip(entity, own)), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).dropna().filter(F.col("s") <= F.col("e"))
+    pieces = ok.select(*own, F.explode(_pieces(0, F.col("s"), F.col("e"))).alias("x")).select(*own, "x.*")
     kept = [pieces.schema[c] for c in names]
-    text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
     bitmaps = pieces.mapInPandas(_combiner(names), f"{text}, runs binary")
     met = bitmaps.repartition(*names).sortWithinPartitions(*names)
-    key = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept[:-2])
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept[:-2])
     spans = met.mapInPandas(_unioner(names), f"{key}, first bigint, last bigint, gap_starts array<bigint>, gap_ends array<bigint>")
-    earlier = Window.partitionBy(*entity).orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*own).orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("before", F.max("last").over(earlier))
 
 
+def _own(entity: list[str]) -> list[str]:
+    return [f"k{n}" for n in range(len(entity))]
+
+
+def _named(df: DataFrame, entity: list[str]) -> DataFrame:
+    return df.withColumnsRenamed(dict(zip(_own(entity), entity)))
+
+
 def _gaps_of(spans: DataFrame, entity: list[str]) -> DataFrame:
+    own = _own(entity)
     covered = F.coalesce(F.col("before") >= F.col("first"), F.lit(False))
     inner = F.when(covered, F.slice("gap_starts", 1, 0)).otherwise(F.col("gap_starts"))
     between = F.when(F.col("before") + 1 < F.col("first"), F.array("before")).otherwise(F.slice(F.array("first"), 1, 0))
     starts = F.concat(F.transform(between, lambda x: x + 1), inner)
     ends = F.concat(F.transform(between, lambda x: F.col("first") - 1), F.when(covered, F.slice("gap_ends", 1, 0)).otherwise(F.col("gap_ends")))
-    return spans.select(*entity, F.explode(F.arrays_zip(starts.alias("gap_start"), ends.alias("gap_end"))).alias("g")).select(*entity, "g.gap_start", "g.gap_end")
+    return spans.select(*own, F.explode(F.arrays_zip(starts.alias("gap_start"), ends.alias("gap_end"))).alias("g")).select(*own, "g.gap_start", "g.gap_end")
 
 
 def gaps(intervals: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
     """Every longest run of positions that no interval of the entity covers, with intervals on both sides."""
-    return _gaps_of(_spans(intervals, entity, start, end), entity)
+    return _named(_gaps_of(_spans(intervals, entity, start, end), entity), entity)
 
 
 def periods(intervals: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
     """Every longest unbroken run of covered positions: (entity, period_start, period_end)."""
+    own = _own(entity)
     spans = _spans(intervals, entity, start, end)
     # a period opens at the first position and after each gap; it closes before the next gap or at the last position
-    marks = _gaps_of(spans, entity).select(*entity, (F.col("gap_end") + 1).alias("opens"), (F.col("gap_start") - 1).alias("closed"), F.lit(None).cast("long").alias("last"))
-    outer = spans.groupBy(*entity).agg(F.min("first").alias("opens"), F.lit(None).cast("long").alias("closed"), F.max("last").alias("last"))
-    w = Window.partitionBy(*entity).orderBy("opens")
-    whole = Window.partitionBy(*entity)
-    return marks.unionByName(outer).select(*entity, F.col("opens").alias("period_start"), F.coalesce(F.lead("closed").over(w), F.max("last").over(whole)).alias("period_end"))
+    marks = _gaps_of(spans, entity).select(*own, (F.col("gap_end") + 1).alias("opens"), (F.col("gap_start") - 1).alias("closed"), F.lit(None).cast("long").alias("last"))
+    outer = spans.groupBy(*own).agg(F.min("first").alias("opens"), F.lit(None).cast("long").alias("closed"), F.max("last").alias("last"))
+    w = Window.partitionBy(*own).orderBy("opens")
+    whole = Window.partitionBy(*own)
+    whole_rows = marks.unionByName(outer).select(*own, F.col("opens").alias("period_start"), F.coalesce(F.lead("closed").over(w), F.max("last").over(whole)).alias("period_end"))
+    return _named(whole_rows, entity)
