@@ -140,7 +140,7 @@ def _flyer(seed: int):
 def _decider(seed: int, round_no: int, land: bool):
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         """At most 2 * FAN_IN undecided items of one source meet here."""
-        pdf = pdf.sort_values(["size", "item_id"], ascending=[False, True])
+        pdf = pdf.assign(known=pdf["item_id"].fillna("")).sort_values(["size", "known"], ascending=[False, True])
         k, node = int(pdf["source_no"].iloc[0]), int(pdf["node"].iloc[0])
         flight = Flight(np.random.default_rng([seed, node, k, round_no]))
         rows: list[tuple] = []
@@ -190,12 +190,13 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame
         raise ValueError(f"more than {MAX_TARGETS} targets")
     listed = list({r[0]: tuple(r) for r in sorted(map(tuple, rows), key=lambda r: (r[0], r[1]), reverse=True)}.values())
     numbers = spark.createDataFrame([(t[0], n) for n, t in enumerate(listed)], "key string, source_no int")
-    sized = durable(items.select("item_id", source_key(F.col("source")).alias("key"), F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size")).join(F.broadcast(numbers), "key"))
+    sized = durable(items.select(F.col("item_id").cast("string").alias("item_id"), source_key(F.col("source")).alias("key"), F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size")).join(F.broadcast(numbers), "key"))
     totals = {listed[r["source_no"]][0]: (r["tokens"], r["n"]) for r in sized.groupBy("source_no").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
     planned = plan(totals, listed)
     chances = spark.createDataFrame([(n, math.floor(x["ratio"]), x["ratio"] - math.floor(x["ratio"])) for n, x in enumerate(planned)], "source_no int, whole int, p double")
-    item_type = items.schema["item_id"].dataType.simpleString()
-    schema = f"node int, source_no int, item_id {item_type}, size bigint, whole int, picked int, p double"
+    # ids travel as text, because a batch with a null among them would turn the others into floating point
+    kind = items.schema["item_id"].dataType
+    schema = "node int, source_no int, item_id string, size bigint, whole int, picked int, p double"
     # large items first: the undecided ones at the end are small, and so is what the landing can miss
     ordered = sized.join(F.broadcast(chances), "source_no").select("item_id", "source_no", "size", "whole", "p").sortWithinPartitions(F.desc("size"), "item_id")
     flown = durable(ordered.mapInPandas(_flyer(seed), schema))
@@ -211,7 +212,7 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame
         undecided = met.filter("picked is null")
     label = spark.createDataFrame([(n, x["source"], x["outcome"], x["target_share"], x["goal"], x["held"]) for n, x in enumerate(planned)], "source_no int, source string, outcome string, target_share double, goal double, held bigint")
     used = decided.withColumn("copies", F.col("whole") + F.col("picked")).filter("copies > 0")
-    picks = used.join(F.broadcast(label.select("source_no", "source")), "source_no").select("source", "item_id", "size", "copies")
+    picks = used.join(F.broadcast(label.select("source_no", "source")), "source_no").select("source", F.col("item_id").cast(kind).alias("item_id"), "size", "copies")
     sums = used.groupBy("source_no").agg(F.sum(F.col("size") * F.col("copies")).alias("picked"), F.sum(F.col("copies").cast("long")).alias("picked_items"))
     whole = sums.agg(F.sum("picked")).scalar()
     report = label.join(sums, "source_no", "left").select("source", "outcome", "target_share", "goal", "held", F.coalesce("picked", F.lit(0)).alias("picked"), F.coalesce("picked_items", F.lit(0)).alias("picked_items"), F.coalesce(F.col("picked") / whole, F.lit(0.0)).alias("share"))

@@ -10,8 +10,8 @@ those of ``FAN_IN`` partitions each, until one partition is left.
 An item longer than the capacity is split into full containers and one rest,
 which is packed like any other item. Only such items are split.
 
-Defined results: items of size 0 (null, empty or blank text) are placed like
-others and take no space; repeated items are placed one by one; null ids are
+Defined results: items of size 0 (null, empty or blank text; null or negative
+sizes) are placed like others and take no space; repeated items are placed one by one; null ids are
 kept; an empty table has no containers.
 """
 
@@ -110,12 +110,16 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 
     ``piece`` counts the pieces of an item from 0, ``pieces`` is their number, ``first`` the offset of a piece in its item.
     """
-    schema = f"local_id string, item_id {items.schema['item_id'].dataType.simpleString()}, piece bigint, pieces bigint, first bigint, size bigint"
-    placed = durable(items.select("item_id", "size").mapInPandas(_placer(capacity), schema))
+    if capacity < 1:
+        raise ValueError("the capacity must be positive")
+    # ids travel as text, because a batch with a null among them would turn the others into floating point
+    kind = items.schema["item_id"].dataType
+    sized = items.select(F.col("item_id").cast("string").alias("item_id"), F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
+    placed = durable(sized.mapInPandas(_placer(capacity), "local_id string, item_id string, piece bigint, pieces bigint, first bigint, size bigint"))
     leftovers = placed.filter("pieces = 0").select("local_id", "size")
     merged = _merge_leftovers(leftovers, max(1, placed.rdd.getNumPartitions()), capacity)
     rows = placed.filter("pieces > 0").join(merged, "local_id", "left")
-    return rows.select(F.coalesce("merged_id", "local_id").alias("container_id"), "item_id", "piece", "pieces", "first", "size")
+    return rows.select(F.coalesce("merged_id", "local_id").alias("container_id"), F.col("item_id").cast(kind).alias("item_id"), "piece", "pieces", "first", "size")
 
 
 def containers(packed: DataFrame, capacity: int) -> DataFrame:

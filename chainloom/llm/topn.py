@@ -30,14 +30,21 @@ def score_bin(score: Column) -> Column:
 
 
 def top_n(items: DataFrame, group: list[str], score: str, ties: list[str], n: int) -> DataFrame:
-    """The ``n`` rows of each group with the highest score, equal scores by ascending ``ties``; columns as in ``items``."""
-    value = F.col(score).cast("double")
-    ok = items.dropna(subset=group).filter(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).withColumn("__bin", score_bin(F.col(score)))
-    histogram = ok.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    downwards = Window.partitionBy(*group).orderBy(F.desc("__bin"))
+    """The ``n`` rows of each group with the highest score, equal scores by ascending ``ties``.
+
+    The result has the columns of ``items`` and ``rank``, which replaces an input column of that name. Each row travels
+    as one value under names of its own, so that no column of ``items`` can clash with them.
+    """
+    g, t = [f"g{k}" for k in range(len(group))], [f"t{k}" for k in range(len(ties))]
+    row = F.struct(*(F.col(f"`{c}`") for c in items.columns if c != "rank"))
+    base = items.select(row.alias("item"), *(F.col(f"`{c}`").alias(x) for c, x in zip([*group, *ties], [*g, *t])), F.col(f"`{score}`").alias("v"))
+    value = F.col("v").cast("double")
+    ok = base.dropna(subset=g).filter(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).withColumn("bin", score_bin(F.col("v")))
+    histogram = ok.groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("n"))
+    downwards = Window.partitionBy(*g).orderBy(F.desc("bin"))
     # the first bin, from above, with which a group has n items; groups with fewer have no threshold
-    enough = histogram.withColumn("__from_top", F.sum("__n").over(downwards)).filter(F.col("__from_top") >= n)
-    threshold = enough.groupBy(*group).agg(F.max("__bin").alias("__least"))
-    kept = ok.join(threshold, group, "left").filter(F.col("__least").isNull() | (F.col("__bin") >= F.col("__least")))
-    ranked = Window.partitionBy(*group).orderBy(F.desc(score), *(F.asc_nulls_last(t) for t in ties))
-    return kept.withColumn("__rank", F.row_number().over(ranked)).filter(F.col("__rank") <= n).select(*items.columns, F.col("__rank").alias("rank"))
+    enough = histogram.withColumn("from_top", F.sum("n").over(downwards)).filter(F.col("from_top") >= n)
+    threshold = enough.groupBy(*g).agg(F.max("bin").alias("least"))
+    kept = ok.join(threshold, g, "left").filter(F.col("least").isNull() | (F.col("bin") >= F.col("least")))
+    ranked = Window.partitionBy(*g).orderBy(F.desc("v"), *(F.asc_nulls_last(x) for x in t))
+    return kept.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= n).select("item.*", F.col("place").alias("rank"))
