@@ -176,7 +176,7 @@ def posterior(loglik: np.ndarray) -> np.ndarray:
 
 
 def train(lines: DataFrame, documents: DataFrame) -> Model:
-    """Fit on the labelled lines, then again with the sentences of sampled articles that agree with their label.
+    """Fit on the labelled lines and the sentences of sampled articles, then again with those that agree with their label.
 
     The sample is bounded by ``MAX_LINES`` and ``ARTICLES_PER_LANGUAGE``: for each language the labelled articles
     with the smallest hash of their id, so that it is the same on every run.
@@ -191,16 +191,16 @@ def train(lines: DataFrame, documents: DataFrame) -> Model:
     ids = documents.select("doc_id", code.alias("code"), F.xxhash64("doc_id").alias("h")).filter(F.col("code").isin(first.langs) & F.col("doc_id").isNotNull())
     chosen = [r["doc_id"] for r in ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= ARTICLES_PER_LANGUAGE).select("doc_id").collect()]
     articles = documents.filter(F.col("doc_id").isin(chosen)).select(code.alias("code"), "text").dropna().limit(4 * len(chosen) + 1).collect()
-    model = first
+    sentences = [(first.langs.index(r["code"]), [s for s in re.split(r"[.!?\0]|''|``", blocks(r["text"])) if len(re.findall(_WORD, s)) >= 3]) for r in articles]
+    # at first all labels are believed; most are right
+    model = Model(labelled + [(first.langs[k], s) for k, own in sentences for s in own])
     for _ in range(TRAINING_ROUNDS):
         agreeing = []
-        for r in articles:
-            k = model.langs.index(r["code"])
-            sentences = [s for s in re.split(r"[.!?\0]|''|``", blocks(r["text"])) if len(re.findall(_WORD, s)) >= 3]
-            scores = np.array([sum(map(model.vector, re.findall(_WORD, s.lower()))) for s in sentences])
+        for k, own in sentences:
+            scores = np.array([sum(map(model.vector, re.findall(_WORD, s.lower()))) for s in own])
             # a wrong label shows in the whole article, a passage in another language in its own sentences
             if len(scores) and scores.sum(axis=0).argmax() == k:
-                agreeing += [(r["code"], s) for s, x in zip(sentences, scores) if x.argmax() == k]
+                agreeing += [(model.langs[k], s) for s, x in zip(own, scores) if x.argmax() == k]
         model = Model(labelled + agreeing)
     return model
 
