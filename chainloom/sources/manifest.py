@@ -42,7 +42,7 @@ def parse(text: str, folder: str = "") -> list[dict]:
         path = values["file"]
         row = dict.fromkeys(COLUMNS) | {k: v for k, v in values.items() if k in COLUMNS}
         row["file"] = path if os.path.isabs(path) or not folder else os.path.join(folder, path)
-        row["id"] = row["id"] or re.sub(r"(\.gz)?$", "", os.path.basename(path)).rpartition(".")[0] or os.path.basename(path)
+        row["id"] = row["id"] or os.path.splitext(os.path.basename(path))[0]
         row["type"] = (row["type"] or "sample").lower()
         if row["type"] not in ("sample", "annotation", "replicate"):
             raise ValueError(f"line {number}: type {row['type']}")
