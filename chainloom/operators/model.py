@@ -93,7 +93,10 @@ class Structures:
 
     @cached_property
     def quant(self) -> DataFrame:
-        """(segment_id, sample_id, value): the records of the segment numbers that a segment's transcripts carry, summed."""
+        """(segment_id, sample_id, value): the records of the segment numbers that a segment's transcripts carry, summed; without records, the transcripts' own values."""
+        if self.records is None:
+            own = self.members.filter("value is not null and sample_id is not null") if "value" in self.transcripts.columns else self.members.limit(0).withColumn("value", F.lit(0.0))
+            return own.groupBy("segment_id", "sample_id").agg(F.sum("value").alias("value"))
         r = self.records.select("segment_index", "sample_id", F.col("value").cast("double").alias("value"))
         ok = r.filter("segment_index is not null and sample_id is not null and value >= 0 and value < double('infinity')").distinct()
         numbers = self.members.select("segment_index", "segment_id").dropna().distinct()

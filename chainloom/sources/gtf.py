@@ -110,3 +110,22 @@ def write_per_sample(lines: DataFrame, path: str) -> None:
     """One folder per sample; lines in order within each, also where a large sample takes several files."""
     keys = ["sample_id", "seqid", "gene_start", "gene_id", "tx_start", "transcript_id", "rank", "number"]
     lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("sample_id", "line").write.mode("overwrite").partitionBy("sample_id").text(path)
+
+
+def inject_counts(lines: DataFrame, counts: DataFrame, id_attribute: str = "talon_transcript", header: dict[str, str] | None = None) -> DataFrame:
+    """Lines whose ``transcript`` features carry ``counts`` of (transcript_id, n); old ``#`` lines go, ``header`` comes first.
+
+    Transcripts without a count get none. Result: (file_name, line_no, line), header lines numbered from 1 - their number.
+    """
+    body = lines.filter(~F.col("line").startswith("#"))
+    cells = body.withColumn("c", F.split("line", "\t"))
+    key = F.when(F.get("c", F.lit(2)) == "transcript", F.try_element_at(attributes(F.get("c", F.lit(8))), F.lit(id_attribute)))
+    n = counts.groupBy(F.col("transcript_id").alias("__id")).agg(F.sum("n").cast("long").alias("n"))
+    keyed = cells.withColumn("__id", key)
+    joined = keyed.join(n, "__id", "left")
+    out = joined.select("file_name", "line_no", F.when(F.col("n").isNotNull(), F.concat(F.regexp_replace("line", r"[;\s]*$", ""), F.format_string('; counts "%d";', "n"))).otherwise(F.col("line")).alias("line"))
+    pairs = list((header or {}).items())
+    if not pairs:
+        return out
+    top = lines.select("file_name").distinct().withColumn("h", F.explode(F.array(*(F.struct(F.lit(k + 1 - len(pairs)).alias("line_no"), F.lit(f"##{a}: {b}").alias("line")) for k, (a, b) in enumerate(pairs)))))
+    return out.unionByName(top.select("file_name", F.col("h.line_no").cast("int").alias("line_no"), "h.line"))
