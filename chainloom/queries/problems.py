@@ -96,3 +96,35 @@ from gtf_gene where {SEQ_KEY_SQL} is not null group by 1""",
     "p5_periods": f"""{_COVER_SQL}, i as (select *, sum(case when before is null or start_pos > before + 1 then 1 else 0 end) over (partition by seqid, gene_id order by start_pos, end_pos rows unbounded preceding) as island from m)
 select seqid, gene_id, min(start_pos) as period_start, max(end_pos) as period_end from i group by seqid, gene_id, island""",
 }
+
+_PAIR_SQL = r"""([^\s";]+)\s+("[^"]*"|[A-Za-z0-9_.:-]+)"""
+ORACLE["p2_found"] = rf"""
+with g0 as (select line_id, regexp_replace(line, chr(13) || '$', '') as line from raw_gtf), g1 as (select line_id, string_split(line, chr(9)) as c from g0 where regexp_matches(line, '\S') and line not like '#%'),
+g2 as (select line_id, len(c) as n, c[3] as kind, c[4] as s, c[5] as e, c[7] as strand, coalesce(c[9], '') as a from g1),
+g3 as (select *, regexp_full_match(a, '\s*{_PAIR_SQL}(\s*;\s*{_PAIR_SQL})*\s*;?\s*') as ok, regexp_extract_all(a, '{_PAIR_SQL}', 1) as ks, list_transform(regexp_extract_all(a, '{_PAIR_SQL}', 2), lambda v: trim(trim(v, '"'))) as vs from g2),
+g4 as (select line_id, case when n <> 9 then 'columns' when not ok then 'quoting'
+  when not (regexp_full_match(s, '[0-9]+') and regexp_full_match(e, '[0-9]+')) or try_cast(s as hugeint) < 1 or try_cast(s as hugeint) > try_cast(e as hugeint) or strand not in ('+', '-', '.') then 'value'
+  when coalesce(vs[list_position(ks, 'gene_id')], '') in ('', '.') or (kind in ('transcript', 'exon') and coalesce(vs[list_position(ks, 'transcript_id')], '') in ('', '.')) then 'value' end as reason from g3),
+m0 as (select line_id, file_name, line_no, regexp_replace(line, chr(13) || '$', '') as line from raw_manifest), m1 as (select * from m0 where regexp_matches(line, '\S') and line not like '#%'),
+m2 as (select *, first_value(line) over w as head, row_number() over w as nth from m1 window w as (partition by file_name order by line_no, line_id)),
+m3 as (select line_id, list_transform(string_split(lower(head), chr(9)), lambda h: trim(h)) as hs, string_split(line, chr(9)) as c from m2 where nth > 1),
+m4 as (select *, list_transform(c, lambda v: case when regexp_full_match(v, '"([^"]|"")*"') then trim(replace(v[2:-2], '""', '"')) else trim(v) end) as vs from m3),
+m5 as (select line_id, case when len(hs) <> len(c) then 'columns' when len(list_filter(c, lambda v: contains(v, '"') and not regexp_full_match(v, '"([^"]|"")*"'))) > 0 then 'quoting'
+  when not regexp_matches(lower(coalesce(vs[list_position(hs, 'file')], '')), '\.(gtf|gff|gff3|bam|sam)(\.gz)?$') or lower(coalesce(vs[list_position(hs, 'type')], '')) not in ('sample', 'annotation', 'replicate', '.', '') then 'value' end as reason from m4)
+select 'raw_gtf' as raw_table, line_id, reason from g4 where reason is not null union all select 'raw_manifest', line_id, reason from m5 where reason is not null"""
+ORACLE["p4_found"] = f"""
+with f as (select file_id, lag(file_id) over (partition by provider, feature_kind order by delivered_at, file_id) as prev from feed_file),
+k as (select record_id, file_id, rec_key, payload, unnest(json_keys(payload)) as field from feed_record),
+l as (select file_id, rec_key, field, case json_type(payload, '$."' || field || '"') when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as kind, json_extract_string(payload, '$."' || field || '"') as v from k),
+s as (select file_id, field, coalesce(string_agg(distinct kind, ',' order by kind), '') as kinds from l group by 1, 2),
+d as (select f.file_id, prev, field, now.kinds as now, was.kinds as was from (select file_id, prev, field from f join s using (file_id) where prev is not null union select f.file_id, prev, field from f join s on s.file_id = prev) f
+      left join s now using (file_id, field) left join (select file_id as prev, field, kinds from s) was using (prev, field)),
+c as (select o.file_id, o.field as old_field, n.field as new_field, count(*) as n, count(*) filter (where a.v = b.v) as same from d o join d n on o.file_id = n.file_id and o.now is null and n.was is null
+      join l a on a.file_id = o.prev and a.field = o.field and a.v is not null and a.kind is not null join l b on b.file_id = n.file_id and b.field = n.field and b.rec_key = a.rec_key and b.v is not null and b.kind is not null group by 1, 2, 3),
+b as (select *, row_number() over (partition by file_id, old_field order by same / n desc, n desc, new_field) as ro, row_number() over (partition by file_id, new_field order by same / n desc, n desc, old_field) as rn from c where same * 10 >= n * {drift.RENAME_TENTHS}),
+r as (select file_id, old_field, new_field from b where ro = 1 and rn = 1)
+select file_id, 'renamed' as change_kind, old_field, new_field from r
+union all select r.file_id, 'type_changed', old_field, new_field from r join d o on o.file_id = r.file_id and o.field = old_field join (select file_id as fid, field as nf, now as nn from d) n on fid = r.file_id and nf = new_field where o.was <> '' and nn <> '' and o.was <> nn
+union all select file_id, 'removed', field, '' from d where now is null and (file_id, field) not in (select file_id, old_field from r)
+union all select file_id, 'added', '', field from d where was is null and (file_id, field) not in (select file_id, new_field from r)
+union all select file_id, 'type_changed', field, field from d where now <> '' and was <> '' and now <> was"""
