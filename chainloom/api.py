@@ -163,7 +163,7 @@ class Index:
         q = multi.unionByName(single).withColumnRenamed("transcript_id", "query_id")
         found = matcher.classify(q, s.segments, options)
         weights = q.select("query_id", F.col("value").cast("long").alias("n_reads"))
-        return {"clusters": bounds, "representatives": clusters.representatives(clustered), "classification": found, "summary": matcher.summarise(found), "novel_junctions": matcher.novel_junctions(q, s.segments, options), "read_coverage": matcher.read_support(matcher.candidates(q, s.segments, options), weights, options), "novel": matcher.novel_segments(found, weights, min_novel_support)}
+        return {"clusters": bounds, "representatives": clusters.representatives(clustered), "classification": found, "summary": matcher.summarise(found), "novel_junctions": matcher.novel_junctions(q, s.segments, options), "read_coverage": matcher.read_support(q, s.segments, weights, options), "novel": matcher.novel_segments(found, weights, min_novel_support)}
 
     def export(self, sample_ids: list[int] | None = None, genes: list[str] | None = None, region: str | None = None, min_samples: int = 1, conserved_fraction: float | None = None, biotypes: list[str] | None = None, sources: list[str] | None = None) -> DataFrame:
         """GTF lines of each sample for the segments that pass all filters; write them with ``sources.gtf.write_per_sample``."""

@@ -121,8 +121,8 @@ class Locus:
         self.o, self.made = options, 0
         self.width = options.fuzzy_tolerance + 1
         self.by_introns: dict[tuple, list[Segment]] = {}
-        self.by_exon: dict[int, list[Segment]] = {}
-        self.by_first: dict[int, list[Segment]] = {}
+        self.by_exons: dict[tuple[int, int], list[Segment]] = {}
+        self.by_first: dict[tuple[int, int], list[Segment]] = {}
         # ascending (start, end, creation), of all and of annotated segments
         self.spans: list[tuple] = []
         self.annotated: list[tuple] = []
@@ -131,9 +131,10 @@ class Locus:
     def _introns(chain: list) -> tuple:
         return (chain[0][1], *chain[1:-1], chain[-1][0])
 
-    def _near(self, index: dict[int, list[Segment]], position: int) -> dict[int, Segment]:
-        cell = position // self.width
-        return {id(s): s for c in (cell - 1, cell, cell + 1) for s in index.get(c, ())}
+    def _near(self, index: dict[tuple[int, int], list[Segment]], one: tuple, two: tuple) -> dict[int, Segment]:
+        """Segments indexed under two neighbouring exons whose starts are near those of ``one`` and ``two``."""
+        a, b = one[0] // self.width, two[0] // self.width
+        return {id(s): s for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for s in index.get((x, y), ())}
 
     def _sorted(self, found: list[Segment], chain: list) -> list[Segment]:
         start, end = chain[0][0], max(e for _, e in chain)
@@ -165,7 +166,7 @@ class Locus:
                 return f"dropped_mono_{kind}", None, gene
         if several and self.o.absorb:
             best, how = None, None
-            for s in self._sorted(list(self._near(self.by_exon, chain[0][0]).values()), chain):
+            for s in self._sorted(list(self._near(self.by_exons, chain[0], chain[1]).values()), chain):
                 kind = relation(chain, s.chain, strand, self.o.fuzzy_tolerance)
                 if kind == "fsm":
                     return self._merged(s, loose, "merged_fuzzy")
@@ -197,9 +198,10 @@ class Locus:
             insort(self.annotated, span, key=lambda x: x[:3])
         if len(new.chain) > 1:
             self.by_introns.setdefault(self._introns(new.chain), []).append(new)
-            self.by_first.setdefault(new.chain[0][0] // self.width, []).append(new)
-            for cell in {s // self.width for s, _ in new.chain}:
-                self.by_exon.setdefault(cell, []).append(new)
+            cells = [s // self.width for s, _ in new.chain]
+            self.by_first.setdefault((cells[0], cells[1]), []).append(new)
+            for pair in set(zip(cells, cells[1:])):
+                self.by_exons.setdefault(pair, []).append(new)
 
     def _merged(self, s: Segment, loose: bool, how: str) -> tuple[str, Segment, str]:
         s.swallowed += 1
@@ -212,8 +214,8 @@ class Locus:
         if len(new.chain) < 2:
             return
         found = {id(s): s for s in self.by_introns.get(self._introns(new.chain), [])}
-        for start, _ in new.chain:
-            found |= self._near(self.by_first, start)
+        for one, two in zip(new.chain, new.chain[1:]):
+            found |= self._near(self.by_first, one, two)
         new_is_annotation = new.loose
         for old in self._sorted(list(found.values()), new.chain):
             kind = "fsm" if is_terminal_variant(old.chain, new.chain) else relation(old.chain, new.chain, new.strand, self.o.fuzzy_tolerance)

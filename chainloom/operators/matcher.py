@@ -1,10 +1,11 @@
 """Structural classification of transcripts against reference segments.
 
-Chains are ascending on both strands and strand decides which end is 5'. One
-range join finds the candidates; scores, splice sites and subcategories are
-array expressions on the pairs; the best candidate is an aggregate, so that a
-query with very many candidates is never gathered. Ties go to the smallest
-(start, end, segment_id).
+Chains are ascending on both strands and strand decides which end is 5'.
+Candidates are the segments that overlap a query enough. Which of them share
+junctions, and which splice sites are known, follows from equi-joins on cells
+of positions, so chains are compared only for the best candidate of a query,
+which is an aggregate: no query's candidates are gathered. Ties go to the
+smallest (start, end, segment_id).
 
 Defined results: a query without candidate is intergenic; one without
 junctions scores 1; a reference without junctions scores 0; repeated query
@@ -33,50 +34,107 @@ class MatchOptions:
     splice_site_window: int = 10
 
 
-def _matched(j: Column, others: Column, tolerance: int) -> Column:
-    return F.exists(others, lambda r: same_junction(j, r, tolerance))
+_SPAN = ["seqid", "strand"]
+
+
+def _wide_enough(o: MatchOptions) -> Column:
+    length = overlap_length("q_start", "q_end", "start_pos", "end_pos")
+    return (length > 0) & (length >= o.min_overlap)
+
+
+def _query_junctions(queries: DataFrame) -> DataFrame:
+    q = queries.select("query_id", *_SPAN, F.col("start_pos").alias("q_start"), F.col("end_pos").alias("q_end"), F.posexplode(junctions(F.col("chain"))).alias("at", "j"))
+    return q.select("query_id", *_SPAN, "q_start", "q_end", "at", F.col("j.donor").alias("q_donor"), F.col("j.acceptor").alias("q_acceptor"))
+
+
+def _segment_junctions(segments: DataFrame) -> DataFrame:
+    return segments.select("segment_id", *_SPAN, "start_pos", "end_pos", F.explode(junctions(F.col("chain"))).alias("j")).select("segment_id", *_SPAN, "start_pos", "end_pos", "j.donor", "j.acceptor")
+
+
+def _cells(position: str, width: int) -> Column:
+    """The cell of a position and its neighbours, so that all positions within ``width`` - 1 are in one of them."""
+    return F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(position) / width) + d))
+
+
+def overlapping(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
+    """(query_id, segment_id, start_pos, end_pos) of all candidates, without their chains."""
+    q = queries.select("query_id", *_SPAN, F.col("start_pos").alias("q_start"), F.col("end_pos").alias("q_end"))
+    r = segments.select("segment_id", *_SPAN, "start_pos", "end_pos")
+    return overlap_join(q, r, _SPAN, ("q_start", "q_end"), ("start_pos", "end_pos")).filter(_wide_enough(o)).select("query_id", "segment_id", "start_pos", "end_pos")
+
+
+def matches(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
+    """(query_id, segment_id, start_pos, end_pos, n_matched): candidates that share a junction. An equi-join on donor cells; other pairs are not made."""
+    width = o.junction_tolerance + 1
+    a = _query_junctions(queries).withColumn("cell", _cells("q_donor", width))
+    b = _segment_junctions(segments).withColumn("cell", F.floor(F.col("donor") / width))
+    near = within(F.col("q_donor"), F.col("donor"), o.junction_tolerance) & within(F.col("q_acceptor"), F.col("acceptor"), o.junction_tolerance)
+    pairs = a.join(b, [*_SPAN, "cell"]).filter(near & _wide_enough(o))
+    return pairs.groupBy("query_id", "segment_id", "start_pos", "end_pos").agg(F.countDistinct("at").alias("n_matched"))
+
+
+def _with_score(matched: DataFrame, queries: DataFrame) -> DataFrame:
+    return matched.join(queries.select("query_id", (F.size("chain") - 1).alias("nq")), "query_id").withColumn("score", F.col("n_matched") / F.col("nq"))
 
 
 def candidates(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
-    """Pairs that overlap enough: query columns q_*, segment columns, n_matched and score.
+    """All pairs that overlap enough: (query_id, segment_id, start_pos, end_pos, n_matched, score).
 
     ``queries`` has (query_id, seqid, strand, start_pos, end_pos, chain).
     """
-    q = queries.select("query_id", "seqid", "strand", F.col("start_pos").alias("q_start"), F.col("end_pos").alias("q_end"), junctions(F.col("chain")).alias("qj"))
-    r = segments.select("segment_id", "seqid", "strand", "start_pos", "end_pos", "gene_id", "chain", junctions(F.col("chain")).alias("rj"))
-    pairs = overlap_join(q, r, ["seqid", "strand"], ("q_start", "q_end"), ("start_pos", "end_pos"))
-    length = overlap_length("q_start", "q_end", "start_pos", "end_pos")
-    pairs = pairs.filter((length > 0) & (length >= o.min_overlap))
-    n = F.size(F.filter("qj", lambda j: _matched(j, F.col("rj"), o.junction_tolerance)))
-    pairs = pairs.withColumn("n_matched", F.when(F.size("rj") > 0, n).otherwise(F.lit(0)))
-    score = F.when(F.size("qj") == 0, F.lit(1.0)).otherwise(F.col("n_matched") / F.size("qj"))
-    return pairs.withColumn("score", score)
+    n = matches(queries, segments, o).select("query_id", "segment_id", "n_matched")
+    pairs = overlapping(queries, segments, o).join(n, ["query_id", "segment_id"], "left").join(queries.select("query_id", (F.size("chain") - 1).alias("nq")), "query_id")
+    matched = F.coalesce("n_matched", F.lit(0))
+    return pairs.select("query_id", "segment_id", "start_pos", "end_pos", matched.alias("n_matched"), F.when(F.col("nq") == 0, F.lit(1.0)).otherwise(matched / F.col("nq")).alias("score"))
 
 
-def site_flags(pairs: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
-    """(query_id, known_donors, known_acceptors, novel_donors, novel_acceptors): sites near one of any candidate."""
+def site_flags(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
+    """(query_id, known_donors, known_acceptors, novel_donors, novel_acceptors): sites near one of any candidate.
 
-    def near(side: str) -> Column:
-        return F.transform("qj", lambda j: F.exists("rj", lambda r: within(j[side], r[side], o.splice_site_window)))
+    Semi-joins on cells against distinct sites, which end at the first hit.
+    """
+    q = _query_junctions(queries)
+    width = o.splice_site_window + 1
+
+    def known(side: str) -> DataFrame:
+        sites = _segment_junctions(segments).select(*_SPAN, "start_pos", "end_pos", side).distinct().withColumn("cell", F.floor(F.col(side) / width))
+        a, b = q.withColumn("cell", _cells(f"q_{side}", width)).alias("a"), sites.alias("b")
+        length = F.least(F.col("a.q_end"), F.col("b.end_pos")) - F.greatest(F.col("a.q_start"), F.col("b.start_pos"))
+        on = (F.col("a.seqid") == F.col("b.seqid")) & (F.col("a.strand") == F.col("b.strand")) & (F.col("a.cell") == F.col("b.cell"))
+        hit = a.join(b, on & within(F.col(f"a.q_{side}"), F.col(f"b.{side}"), o.splice_site_window) & (length > 0) & (length >= o.min_overlap), "left_semi")
+        return hit.select("query_id", "at", F.lit(side).alias("side")).distinct()
+
+    hits = known("donor").unionByName(known("acceptor")).groupBy("query_id").agg(F.count_if(F.col("side") == "donor").alias("known_donors"), F.count_if(F.col("side") == "acceptor").alias("known_acceptors"))
+    with_any = overlapping(queries, segments, o).select("query_id").distinct()
+    all_q = queries.filter(F.size("chain") > 1).select("query_id", (F.size("chain") - 1).cast("long").alias("n")).join(with_any, "query_id", "left_semi").join(hits, "query_id", "left").fillna(0, ["known_donors", "known_acceptors"])
+    return all_q.select("query_id", "known_donors", "known_acceptors", (F.col("n") - F.col("known_donors")).alias("novel_donors"), (F.col("n") - F.col("known_acceptors")).alias("novel_acceptors"))
 
-    each = pairs.filter(F.size("qj") > 0).select("query_id", F.posexplode(F.arrays_zip(near("donor").alias("d"), near("acceptor").alias("a"))).alias("at", "x"))
-    known = each.groupBy("query_id", "at").agg(F.bool_or("x.d").alias("d"), F.bool_or("x.a").alias("a"))
-    return known.groupBy("query_id").agg(
-        F.count_if("d").alias("known_donors"), F.count_if("a").alias("known_acceptors"), F.count_if(~F.col("d")).alias("novel_donors"), F.count_if(~F.col("a")).alias("novel_acceptors")
-    )
 
+def best_candidates(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
+    """(query_id, segment_id, n_matched, n_ties, ...): the best candidate of each query with both chains' junctions.
 
-def best_candidates(pairs: DataFrame) -> DataFrame:
-    """The best candidate of each query, and the best score."""
-    order = F.struct(-F.col("score"), F.col("start_pos"), F.col("end_pos"), F.col("segment_id"))
-    kept = F.struct("seqid", "strand", "q_start", "q_end", "qj", "rj", "chain", "segment_id", "gene_id", "score", "n_matched")
-    return pairs.groupBy("query_id").agg(F.min_by(kept, order).alias("b")).select("query_id", "b.*")
+    Where no candidate shares a junction all score alike, and the first by (start, end, id) is the best.
+    """
+    place = F.struct("start_pos", "end_pos", "segment_id")
+    first = overlapping(queries, segments, o).groupBy("query_id").agg(F.min(place).alias("first"))
+    m = matches(queries, segments, o)
+    top = m.groupBy("query_id").agg(F.min(F.struct((-F.col("n_matched")).alias("n"), "start_pos", "end_pos", "segment_id")).alias("top"))
+    chosen = first.join(top, "query_id", "left").select("query_id", F.coalesce("top.segment_id", "first.segment_id").alias("segment_id"), F.coalesce(-F.col("top.n"), F.lit(0)).alias("n_matched"))
+    n_ties = ties(queries, segments, o, with_single=False).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ties"))
+    q = queries.select("query_id", "strand", F.col("start_pos").alias("q_start"), F.col("end_pos").alias("q_end"), junctions(F.col("chain")).alias("qj"))
+    r = segments.select("segment_id", "gene_id", "chain", junctions(F.col("chain")).alias("rj"))
+    score = F.when(F.size("qj") == 0, F.lit(1.0)).otherwise(F.col("n_matched") / F.size("qj"))
+    return chosen.join(n_ties, "query_id", "left").join(q, "query_id").join(r, "segment_id").withColumn("score", score)
 
 
-def ties(pairs: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
-    """(query_id, segment_id) of every candidate that scores as well as the best one."""
-    top = pairs.groupBy("query_id").agg(F.max("score").alias("top"))
-    return pairs.join(top, "query_id").filter((F.col("top") - F.col("score") < TIE) & (F.col("score") >= o.min_junction_score)).select("query_id", "segment_id")
+def ties(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions(), with_single: bool = True) -> DataFrame:
+    """(query_id, segment_id) of every candidate that scores as well as the best one; for single-exon queries these are all."""
+    m = _with_score(matches(queries, segments, o), queries)
+    top = m.groupBy("query_id").agg(F.max("score").alias("top"))
+    out = m.join(top, "query_id").filter((F.col("top") - F.col("score") < TIE) & (F.col("score") >= o.min_junction_score)).select("query_id", "segment_id")
+    if not with_single:
+        return out
+    return out.unionByName(overlapping(queries.filter(F.size("chain") == 1), segments, o).select("query_id", "segment_id"))
 
 
 def _subcategories(best: DataFrame, o: MatchOptions) -> DataFrame:
@@ -107,20 +165,22 @@ RESULT = ["query_id", "category", "subcategory", "segment_id", "gene_id", "score
 
 def classify(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
     """One row per query: category, subcategory and figures of the best candidate."""
-    pairs = candidates(queries, segments, o)
-    n_ties = ties(pairs, o).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ties"))
     counts = ["known_donors", "known_acceptors", "novel_donors", "novel_acceptors"]
-    best = best_candidates(pairs).join(site_flags(pairs, o), "query_id", "left").join(n_ties, "query_id", "left").fillna(0, [*counts, "n_ties"])
+    best = best_candidates(queries, segments, o).join(site_flags(queries, segments, o), "query_id", "left").fillna(0, [*counts, "n_ties"])
     done = _subcategories(best, o).select("query_id", "category", "subcategory", "segment_id", "gene_id", F.round("score", 6).alias("score"), F.col("n_matched").cast("long"), F.size("qj").cast("long").alias("query_junctions"), F.size("rj").cast("long").alias("ref_junctions"), *counts)
     rest = queries.select("query_id").join(done, "query_id", "left")
     return rest.fillna({"category": "intergenic", "subcategory": "none", "score": 0.0, "n_matched": 0, "query_junctions": 0, "ref_junctions": 0, **dict.fromkeys(counts, 0)})
 
 
 def novel_junctions(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
-    """(query_id, donor, acceptor): junctions of a query that no candidate has, within the tolerance."""
-    pairs = candidates(queries, segments, o).select("query_id", F.posexplode("qj").alias("at", "j"), "rj")
-    known = pairs.groupBy("query_id", "at", "j").agg(F.bool_or(_matched(F.col("j"), F.col("rj"), o.junction_tolerance)).alias("known"))
-    return known.filter(~F.col("known")).select("query_id", "j.donor", "j.acceptor")
+    """(query_id, donor, acceptor): junctions of a query with candidates that none of them has, within the tolerance."""
+    width = o.junction_tolerance + 1
+    q = _query_junctions(queries)
+    r = _segment_junctions(segments).select(*_SPAN, "start_pos", "end_pos", "donor", "acceptor").distinct().withColumn("cell", F.floor(F.col("donor") / width))
+    near = within(F.col("q_donor"), F.col("donor"), o.junction_tolerance) & within(F.col("q_acceptor"), F.col("acceptor"), o.junction_tolerance)
+    known = q.withColumn("cell", _cells("q_donor", width)).join(r, [*_SPAN, "cell"]).filter(near & _wide_enough(o)).select("query_id", "at").distinct()
+    some = overlapping(queries, segments, o).select("query_id").distinct()
+    return q.join(some, "query_id", "left_semi").join(known, ["query_id", "at"], "left_anti").select("query_id", F.col("q_donor").alias("donor"), F.col("q_acceptor").alias("acceptor"))
 
 
 def summarise(classified: DataFrame) -> DataFrame:
@@ -129,9 +189,9 @@ def summarise(classified: DataFrame) -> DataFrame:
     return classified.groupBy("category", "subcategory").agg(F.count(F.lit(1)).alias("n")).withColumn("percent", F.round(F.col("n") * 100.0 / total, 4))
 
 
-def read_support(pairs: DataFrame, weights: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
+def read_support(queries: DataFrame, segments: DataFrame, weights: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
     """(segment_id, read_coverage): the reads of a query count for every segment it ties on. ``weights`` is (query_id, n_reads)."""
-    return ties(pairs, o).join(weights, "query_id").groupBy("segment_id").agg(F.sum("n_reads").alias("read_coverage"))
+    return ties(queries, segments, o).join(weights, "query_id").groupBy("segment_id").agg(F.sum("n_reads").alias("read_coverage"))
 
 
 def novel_segments(classified: DataFrame, weights: DataFrame, min_support: int = 3) -> DataFrame:

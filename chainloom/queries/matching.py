@@ -65,7 +65,7 @@ def match_candidates(q: DataFrame, r: DataFrame) -> DataFrame:
 
 
 def read_support(q: DataFrame, r: DataFrame) -> DataFrame:
-    return matcher.read_support(matcher.candidates(q, r), q.select("query_id", F.col("n_exons").alias("n_reads")))
+    return matcher.read_support(q, r, q.select("query_id", F.col("n_exons").alias("n_reads")))
 
 
 def novel_segments(q: DataFrame, r: DataFrame) -> DataFrame:
@@ -108,9 +108,9 @@ QUERIES = {
     "match_candidates": _m(match_candidates),
     "classify": _m(matcher.classify),
     "classify_summary": _m(lambda q, r: matcher.summarise(matcher.classify(q, r))),
-    "known_sites": _m(lambda q, r: matcher.site_flags(matcher.candidates(q, r))),
+    "known_sites": _m(matcher.site_flags),
     "novel_junctions": _m(matcher.novel_junctions),
-    "ambiguous_ties": _m(lambda q, r: matcher.ties(matcher.candidates(q, r))),
+    "ambiguous_ties": _m(matcher.ties),
     "read_support": _m(read_support),
     "novel_segments": _m(novel_segments),
     "query_presence": presence,
