@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
 from .model import Structures
 
 _EVENT = ["gene_id", "event_type", "key", "start_pos", "end_pos"]
@@ -91,7 +92,8 @@ def mutually_exclusive(p: DataFrame) -> DataFrame:
 
 def events(s: Structures) -> DataFrame:
     """(gene_id, event_type, key, start_pos, end_pos): one row per event and affected exon."""
-    p = placed(s)
+    # read by all six kinds, several times each
+    p = durable(placed(s))
     parts = [cassette(p), alternative_sites(p), intron_retention(p), alternative_ends(p), mutually_exclusive(p)]
     out = parts[0]
     for x in parts[1:]:
@@ -101,14 +103,14 @@ def events(s: Structures) -> DataFrame:
 
 def event_types(s: Structures) -> DataFrame:
     """(event_type, n_rows, n_genes, percent)."""
-    e = events(s)
+    e = durable(events(s))
     total = e.agg(F.count(F.lit(1))).scalar()
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("gene_id").alias("n_genes")).withColumn("percent", F.round(F.col("n_rows") * 100.0 / total, 4))
 
 
 def event_psi(s: Structures) -> DataFrame:
     """Per event and sample: segments of the gene in the sample, those with an affected exon, and their share."""
-    e = events(s)
+    e = durable(events(s))
     exons = s.segment_exons.select("segment_id", "gene_id", "start_pos", "end_pos").distinct()
     key = ["gene_id", "event_type", "key"]
     touched = e.join(exons, ["gene_id", "start_pos", "end_pos"]).select(*key, "segment_id").distinct()

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import junctions, same_junction, within
+from ..plans.durable import durable
 from .overlap import overlap_join, overlap_length
 
 # Fixed values of the classification.
@@ -164,7 +165,12 @@ RESULT = ["query_id", "category", "subcategory", "segment_id", "gene_id", "score
 
 
 def classify(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
-    """One row per query: category, subcategory and figures of the best candidate."""
+    """One row per query: category, subcategory and figures of the best candidate.
+
+    Both inputs are read many times, so their needed columns are written once first.
+    """
+    queries = durable(queries.select("query_id", *_SPAN, "start_pos", "end_pos", "chain"))
+    segments = durable(segments.select("segment_id", *_SPAN, "start_pos", "end_pos", "gene_id", "chain"))
     counts = ["known_donors", "known_acceptors", "novel_donors", "novel_acceptors"]
     best = best_candidates(queries, segments, o).join(site_flags(queries, segments, o), "query_id", "left").fillna(0, [*counts, "n_ties"])
     done = _subcategories(best, o).select("query_id", "category", "subcategory", "segment_id", "gene_id", F.round("score", 6).alias("score"), F.col("n_matched").cast("long"), F.size("qj").cast("long").alias("query_junctions"), F.size("rj").cast("long").alias("ref_junctions"), *counts)
