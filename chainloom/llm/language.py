@@ -2,16 +2,17 @@
 
 Evidence is fused by Bayes' rule. The likelihood of a sentence in each language
 comes from character n-grams of its words, trained on labelled lines and on a
-bounded sample of labelled articles. Most sentences are clear from it alone.
-The others are weighed with a prior for their article: the languages declared
-for the articles of its venue, smoothed towards those of its source, and these
-towards those of all articles (counted over the whole table); the declared label,
-the language the markup declares and the suffix of the main file's name each
-multiply it. A block's language is the one of most of its prose, an article's
-the one of most prose of all blocks, both measured in letters.
-
-Scan tasks reduce each article to the letters per language of its blocks, before
-the priors are joined. No text is shuffled.
+bounded sample of labelled articles. Each sentence is weighed with a prior for
+its article: the languages declared for the articles of its venue, smoothed
+towards those of its source, and these towards those of all articles (counted
+over the whole table); the declared label, the language the markup declares and
+the suffix of the main file's name each multiply it. A block's language is the
+one of most of its prose, an article's the one of most prose of all blocks, both
+measured in letters shared out by the posteriors of the sentences; in an
+article's the prior itself counts as much as one word.
+
+Scan tasks reduce each article to the block, letters and log-likelihoods of its
+sentences, before the priors are joined. No text is shuffled.
 
 Defined results: articles without prose (null, empty, markup only) get no
 language; a label that is null, blank or names none or several languages is no
@@ -55,8 +56,8 @@ TRAINING_ROUNDS = 2
 SMOOTHING = 20.0
 #: Probability that a declared language is the true one.
 LABEL_TRUST, MARKUP_TRUST, SUFFIX_TRUST = 0.9, 0.9, 0.6
-#: Posterior from which a sentence is clear by its text alone.
-CLEAR = 0.98
+#: Letters that the prior of an article counts for beside its prose.
+PRIOR_LETTERS = 5
 #: Words whose vectors a worker keeps.
 MAX_WORDS = 300_000
 #: Hosts up to which the priors are sent to all tasks instead of joined by a shuffle.
@@ -205,7 +206,7 @@ def train(lines: DataFrame, documents: DataFrame) -> Model:
     return model
 
 
-EVIDENCE_SCHEMA = "doc_id {id}, source_key string, venue string, label string, declared string, suffix string, block array<int>, lang array<int>, letters array<int>, open_block array<int>, open_letters array<int>, open_loglik array<float>"
+EVIDENCE_SCHEMA = "doc_id {id}, source_key string, venue string, label string, declared string, suffix string, block array<int>, letters array<int>, loglik array<float>"
 
 
 def _lists(owner: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType, width: int = 1) -> pa.Array:
@@ -220,7 +221,7 @@ def _declared(text: str) -> str | None:
 
 
 def _evidence_of(model: Model):
-    """Articles to letters per block and language: clear sentences summed, the others one by one."""
+    """Articles to the block, letters and log-likelihoods of each of their sentences."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, width = Scorer(model), len(model.langs)
@@ -230,18 +231,12 @@ def _evidence_of(model: Model):
                 texts = [x or "" for x in rows.column("text").to_pylist()]
                 n = len(texts)
                 article, block, letters, loglik = scorer.sentences([blocks(x) for x in texts])
-                best = posterior(loglik)
-                clear = best.max(axis=1) >= CLEAR if len(best) else np.zeros(0, dtype=bool)
-                cell = (article[clear] << 40) | (block[clear] << 8) | best[clear].argmax(axis=1) if clear.any() else np.zeros(0, dtype=np.int64)
-                cells, where = np.unique(cell, return_inverse=True)
-                sums = np.bincount(where, weights=letters[clear], minlength=len(cells)).astype(np.int64)
+                loglik -= loglik.max(axis=1, keepdims=True)  # only differences count; small numbers keep their digits
                 fixed = [rows.column(c) for c in ("doc_id", "source_key", "venue", "label")]
                 declared = pa.array([_declared(x) for x in texts], pa.string())
-                owner = cells >> 40
                 out = [
                     *fixed, declared, rows.column("suffix"),
-                    _lists(owner, n, (cells >> 8) & 0xFFFFFFFF, pa.int32()), _lists(owner, n, cells & 0xFF, pa.int32()), _lists(owner, n, sums, pa.int32()),
-                    _lists(article[~clear], n, block[~clear], pa.int32()), _lists(article[~clear], n, letters[~clear], pa.int32()), _lists(article[~clear], n, loglik[~clear].astype(np.float32), pa.float32(), width),
+                    _lists(article, n, block, pa.int32()), _lists(article, n, letters, pa.int32()), _lists(article, n, loglik.astype(np.float32), pa.float32(), width),
                 ]
                 yield pa.RecordBatch.from_arrays(out, names=[x.split(" ")[0] for x in EVIDENCE_SCHEMA.split(", ")])
 
@@ -290,10 +285,9 @@ def _fused(langs: list[str]):
     tables = [{c: trust(c, w) for c in (None, *langs)} for w in (LABEL_TRUST, MARKUP_TRUST, SUFFIX_TRUST)]
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, width = batch.num_rows, len(langs)
-            if not n:
-                continue
+        width = len(langs)
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            n = batch.num_rows
             col = {name: batch.column(name) for name in batch.schema.names}
             prior = np.log(np.array([p if p is not None else [1.0 / width] * width for p in col["prior"].to_pylist()]))
             for name, table in zip(("label", "declared", "suffix"), tables):
@@ -305,13 +299,7 @@ def _fused(langs: list[str]):
                 return np.repeat(np.arange(n), sizes), values.flatten().to_numpy(zero_copy_only=False)
 
             doc, block = flat("block")
-            share = np.zeros((len(doc), width))
-            share[np.arange(len(doc)), flat("lang")[1]] = flat("letters")[1]
-            open_doc, open_block = flat("open_block")
-            if len(open_doc):
-                loglik = flat("open_loglik")[1].reshape(-1, width)
-                share = np.concatenate([share, posterior(loglik + prior[open_doc]) * flat("open_letters")[1][:, None]])
-                doc, block = np.r_[doc, open_doc], np.r_[block, open_block]
+            share = posterior(flat("loglik")[1].reshape(-1, width) + prior[doc]) * flat("letters")[1][:, None]
             cell, where = np.unique((doc.astype(np.int64) << 32) | block, return_inverse=True)
             of_block = np.zeros((len(cell), width))
             np.add.at(of_block, where, share)
@@ -319,9 +307,8 @@ def _fused(langs: list[str]):
             of_doc = np.zeros((n, width))
             np.add.at(of_doc, owner, of_block)
             some = of_doc.sum(axis=1) > 0
-            # the article's posterior share, with its prior counting as much as one word
-            fused = of_doc + 5 * posterior(prior)
-            main = [langs[k] if s else None for k, s in zip(of_doc.argmax(axis=1), some)]
+            fused = of_doc + PRIOR_LETTERS * posterior(prior)
+            main = [langs[k] if s else None for k, s in zip(fused.argmax(axis=1), some)]
             sure = [float(v) if s else None for v, s in zip(fused.max(axis=1) / fused.sum(axis=1), some)]
             total = of_block.sum(axis=1)
             out = [

@@ -54,6 +54,15 @@ def test_articles_and_passages(spark):
     assert out[1]["confidence"] > 0.9 and out[2]["block"] == [0, 1, 2]
 
 
+def test_label_and_markup_weigh_on_sentences_that_look_clear(spark):
+    """``plus`` is French by 0.98 of its text alone; label and markup together say more than that."""
+    model = language.Model([(lang, text) for _, lang, text in LINES])
+    assert model.langs[model.vector("plus").argmax()] == "fr" and language.posterior(model.vector("plus")).max() > 0.98
+    markup = "\\usepackage[german]{babel}\\begin{document}\n\n"
+    out, found = identify(spark, [(1, f"{markup}Plus.", "de", None, None, None), (2, "Plus.", None, None, None, None), (3, f"{markup}{FR}", "de", None, None, None)])
+    assert out[1]["main"] == "de" and out[1]["lang"] == ["de"] and found == [(2, -1, "fr"), (3, -1, "fr")]
+
+
 def test_null_ids_long_text_and_empty_table(spark):
     _, found = identify(spark, [(None, (DE + "\n\n") * 3000, "en", "s", "v", "a.tex")])
     assert found == [(None, -1, "de")]
