@@ -56,6 +56,12 @@ def annotation_transcripts(spark: SparkSession, paths: list[str], ids: DataFrame
     return model.with_chains(one.filter("gene_id is not null"), ex).select(*_COLUMNS)
 
 
+def annotation_biotypes(spark: SparkSession, paths: list[str], ids: DataFrame, include_scaffolds: bool = False, chromosomes: list[str] | None = None) -> DataFrame:
+    """(gene_id, gene_biotype): the first biotype that the lines of a gene name, by sample and line."""
+    named = gtf.gene_biotypes(_kept(gtf.features(gtf.read_lines(spark, paths)), include_scaffolds, chromosomes)).join(F.broadcast(ids.select("file_name", "sample_id")), "file_name")
+    return named.groupBy(gene_key(F.col("gene_id")).alias("gene_id")).agg(F.min_by("gene_biotype", F.struct("sample_id", "line_no")).alias("gene_biotype"))
+
+
 def read_transcripts(spark: SparkSession, paths: list[str], ids: DataFrame, annotated: DataFrame, min_counts: int = 0, min_mapq: int = 0, include_scaffolds: bool = False, chromosomes: list[str] | None = None) -> DataFrame:
     """Multi-exon read clusters of SAM or BAM files as transcripts; their gene is that of the longest overlap in ``annotated``."""
     text, binary = [p for p in paths if manifest.file_kind(p) == "alignment_text"], [p for p in paths if manifest.file_kind(p) == "alignment_binary"]
@@ -107,7 +113,12 @@ class Index:
         shapes = t.groupBy(F.col("structure").alias("target")).agg(F.min("chain").alias("chain"))
         taken = t.drop("chain", "gene_id", "start_pos", "end_pos", "n_exons").join(decided.filter("target is not null").select("structure", "target", "gene_id"), "structure").drop("structure").join(shapes, "target")
         live = taken.withColumnRenamed("target", "structure").withColumns({"start_pos": F.col("chain")[0]["start_pos"], "end_pos": F.array_max(F.transform("chain", lambda x: x["end_pos"])), "n_exons": F.size("chain").cast("long")})
-        genes = t.groupBy("gene_id").agg(F.min("gene_name").alias("gene_name"), F.lit(None).cast("string").alias("gene_biotype"))
+        genes = t.groupBy("gene_id").agg(F.min("gene_name").alias("gene_name"))
+        if annotations:
+            # read for every report otherwise
+            genes = genes.join(durable(annotation_biotypes(spark, annotations, ids, include_scaffolds, chromosomes)), "gene_id", "left")
+        else:
+            genes = genes.withColumn("gene_biotype", F.lit(None).cast("string"))
         return cls(model.Structures(live, sample_table, genes), decisions)
 
     def save(self, path: str) -> None:

@@ -60,6 +60,12 @@ def transcripts_and_exons(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     return t.dropna(subset=["gene_id", "transcript_id"]), e.dropna(subset=["transcript_id"])
 
 
+def gene_biotypes(feats: DataFrame) -> DataFrame:
+    """(file_name, line_no, gene_id, gene_biotype) of the gene, transcript and exon lines that name a biotype of their gene."""
+    lines = feats.filter(F.col("feature").isin("gene", "transcript", "exon")).select("file_name", "line_no", attribute("gene_id").alias("gene_id"), attribute("gene_type", "gene_biotype").alias("gene_biotype"))
+    return lines.dropna(subset=["gene_id", "gene_biotype"])
+
+
 def passes_expression(declared: list[str], thresholds: dict[str, float]) -> Column:
     """All declared attributes that a transcript has reach their threshold; negative thresholds are off, missing values pass."""
     from ..functions.scalars import expression_value

@@ -105,6 +105,18 @@ def test_bam_reads_discover_and_build(spark, built, tmp_path):
     assert {r["gene_id"] for r in again.structures.segments.collect()} == {"G1"}
 
 
+def test_gene_biotypes_of_files(spark, tmp_path):
+    items = [("A1", "G1.2", P4, 'gene_type "protein_coding";'), ("A2", "G2", [(7000, 7100), (8000, 8100)], 'gene_type "";'), ("A3", "G3", [(21000, 21100), (22000, 22100)], "")]
+    named = ['gene\t7000\t8100\t.\t+\t.\tgene_id "G2"; gene_biotype "lncRNA";', 'exon\t21000\t21100\t.\t+\t.\tgene_id "G3"; transcript_id "A3"; gene_type "snoRNA";']
+    (tmp_path / "a.gtf").write_text(gtf_text(items) + "".join(f"chr1\tS\t{x}\n" for x in named))
+    (tmp_path / "b.gtf").write_text(gtf_text([("B1", "G1", P4, 'gene_type "other";')]))
+    ix = Index.build(spark, [{"file": str(tmp_path / "b.gtf"), "id": "b", "type": "sample"}, {"file": str(tmp_path / "a.gtf"), "id": "a", "type": "annotation"}])
+    assert {r["gene_id"]: r["gene_biotype"] for r in ix.structures.genes.collect()} == {"G1": "protein_coding", "G2": "lncRNA", "G3": "snoRNA"}
+    assert {(r["biotype"], r["n"]) for r in ix.inspect()["biotype"].filter("level = 'gene' and sample_id is null").collect()} == {("protein_coding", 1), ("lncRNA", 1), ("snoRNA", 1)}
+    lines = [r["line"] for r in ix.export(biotypes=["protein_coding"], sample_ids=[1]).collect()]
+    assert len(lines) == 1 + 2 * 5 and sum('gene_biotype "protein_coding";' in x for x in lines) == 1
+
+
 def test_injected_counts(spark):
     lines = spark.createDataFrame([("f", 1, "#old"), ("f", 2, 'c\ts\ttranscript\t1\t2\t.\t+\t.\ttalon_transcript "7"; x "y";'), ("f", 3, 'c\ts\texon\t1\t2\t.\t+\t.\ttalon_transcript "7";')], "file_name string, line_no int, line string")
     out = [r["line"] for r in gtf.inject_counts(lines, spark.createDataFrame([("7", 5)], "transcript_id string, n bigint"), header={"type": "sample"}).orderBy("line_no").collect()]
