@@ -10,6 +10,7 @@ but where a lineage cut is needed; sinks are in ``sources``.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,37 @@ def _kept(df: DataFrame, include_scaffolds: bool, chromosomes: list[str] | None)
     return out.filter(F.col("seqid").isin(chromosomes)) if chromosomes else out
 
 
+def file_headers(spark: SparkSession, paths: list[str]) -> dict[str, dict[str, str]]:
+    """What the headers of files say of the columns of a manifest, by file name."""
+    of_kind = {k: [p for p in paths if manifest.file_kind(p) == k] for k in set(manifest.KINDS.values())}
+    out: dict[str, dict[str, str]] = {}
+    if of_kind["annotation_text"]:
+        found = gtf.headers(gtf.read_lines(spark, of_kind["annotation_text"])).filter(F.col("key").isin(manifest.COLUMNS))
+        for r in found.toLocalIterator():
+            out.setdefault(r["file_name"], {})[r["key"]] = r["value"]
+    text, binary = of_kind["alignment_text"], of_kind["alignment_binary"]
+    for lines in ([gtf.read_lines(spark, text)] if text else []) + ([bam.read_lines(spark, binary, records=False)] if binary else []):
+        for r in sam.header(lines).toLocalIterator():
+            out[r["file_name"]] = {"id": r["sample"], "platform": r["platform"], "pipeline": r["program"], "pipeline_version": r["version"]}
+    return out
+
+
+def sample_rows(spark: SparkSession, samples: str | list[dict | str]) -> list[dict]:
+    """Rows of the manifests, rows and bare files that ``samples`` names; cells left open are taken from the header of the file, then by default."""
+    rows: list[tuple[dict, bool]] = []
+    for x in samples if isinstance(samples, list) else [samples]:
+        if isinstance(x, dict):
+            rows.append((x, False))
+        elif manifest.file_kind(x):
+            rows.append(({"file": x}, True))
+        else:
+            with open(x, encoding="utf-8") as f:
+                own, infer = manifest.parse_open(f.read(), os.path.dirname(x))
+            rows += [(r, infer) for r in own]
+    heads = file_headers(spark, sorted({r["file"] for r, _ in rows}))
+    return [manifest.completed(manifest.filled(r, heads.get(r["file"].rsplit("/", 1)[-1], {})), infer) for r, infer in rows]
+
+
 def annotation_transcripts(spark: SparkSession, paths: list[str], ids: DataFrame, thresholds: dict[str, float], include_scaffolds: bool = False, chromosomes: list[str] | None = None) -> DataFrame:
     """Transcripts of GTF or GFF files with chain and value. ``ids`` has (file_name, sample_id, expression_attribute)."""
     t, e = gtf.transcripts_and_exons(_kept(gtf.features(gtf.read_lines(spark, paths)), include_scaffolds, chromosomes))
@@ -89,12 +121,14 @@ class Index:
 
     @classmethod
     def build(
-        cls, spark: SparkSession, samples: str | list[dict], absorb_structures: bool = True, fuzzy_tolerance: int = 5, annotated_loci_only: bool = False, include_scaffolds: bool = False,
+        cls, spark: SparkSession, samples: str | list[dict | str], absorb_structures: bool = True, fuzzy_tolerance: int = 5, annotated_loci_only: bool = False, include_scaffolds: bool = False,
         chromosomes: list[str] | None = None, min_expression: dict[str, float] | None = None, min_counts: int = 0,
     ) -> Index:
-        """``samples`` is the path of a manifest or its rows as ``sources.manifest.parse`` gives them. Unknown kinds of files are skipped."""
-        rows = samples if isinstance(samples, list) else [r.asDict() for r in manifest.read(spark, samples).collect()]
-        rows = sorted(rows, key=lambda r: not (r["type"] == "annotation" or r.get("annotation_source") or r.get("annotation_version")))
+        """``samples`` is the path of a manifest or of one annotation or alignment file, or a list of such paths and of rows as ``sources.manifest.parse`` gives them.
+
+        What they leave open is taken from the headers of the files. Files of unknown kinds that a row names are skipped.
+        """
+        rows = sorted(sample_rows(spark, samples), key=lambda r: not (r["type"] == "annotation" or r.get("annotation_source") or r.get("annotation_version")))
         listed = [(n, r) for n, r in enumerate(rows, 1) if manifest.file_kind(r["file"])]
         if not listed:
             raise ValueError("no readable files")

@@ -20,12 +20,14 @@ _OPERATIONS, _FIXED = "MIDNSHP=X", struct.Struct("<iiBBHHHiiii")
 BATCH = 5_000
 
 
-def _lines(path: str) -> Iterator[str]:
+def _lines(path: str, records: bool = True) -> Iterator[str]:
     with gzip.open(path, "rb") as f:
         if f.read(4) != b"BAM\1":
             raise ValueError(f"{path}: not a BAM file")
         text = f.read(struct.unpack("<i", f.read(4))[0]).rstrip(b"\0").decode("utf-8", "replace")
         yield from text.splitlines()
+        if not records:
+            return
         names = []
         for _ in range(struct.unpack("<i", f.read(4))[0]):
             names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode())
@@ -41,14 +43,14 @@ def _lines(path: str) -> Iterator[str]:
             yield "\t".join(map(str, (name, flag, rname, pos + 1, mapq, cigar, rnext, next_pos + 1, size, "*" if n_seq else "*", "*")))
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_name, line_no, line) in the shape of ``sources.gtf.read_lines``, for ``sources.sam``; one task per file."""
+def read_lines(spark: SparkSession, paths: list[str], records: bool = True) -> DataFrame:
+    """(file_name, line_no, line) in the shape of ``sources.gtf.read_lines``, for ``sources.sam``; one task per file. Without ``records`` only the header is read."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path in pdf["path"]:
                 name, rows = path.rsplit("/", 1)[-1], []
-                for n, line in enumerate(_lines(path), 1):
+                for n, line in enumerate(_lines(path, records), 1):
                     rows.append((name, n, line))
                     if len(rows) >= BATCH:
                         yield pd.DataFrame(rows, columns=["file_name", "line_no", "line"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The columns of a manifest, and the endings of each kind of file.
 COLUMNS = ["file", "id", "type", "group", "description", "assay", "biosample_type", "biosample", "condition", "treatment", "species", "replication_type", "platform", "pipeline", "pipeline_version", "annotation_source", "annotation_version", "source_url", "publication", "expression_attribute"]
+TYPES = ("sample", "annotation", "replicate")
 KINDS = {"gtf": "annotation_text", "gff": "annotation_text", "gff3": "annotation_text", "sam": "alignment_text", "bam": "alignment_binary"}
 SCHEMA = ", ".join(f"`{c}` {'array<string>' if c == 'expression_attribute' else 'string'}" for c in COLUMNS)
 
@@ -25,6 +26,39 @@ def file_kind(path: str) -> str | None:
 
 def parse(text: str, folder: str = "") -> list[dict]:
     """Rows of a manifest. ``.`` and blank cells are null; paths are taken from ``folder``; errors carry the line number."""
+    rows, infer = parse_open(text, folder)
+    return [completed(r, infer) for r in rows]
+
+
+def completed(row: dict, infer: bool = True) -> dict:
+    """A row whose id, type and (with ``infer``) group have their default where they are open."""
+    row = dict.fromkeys(COLUMNS) | row
+    row["id"] = row["id"] or os.path.splitext(os.path.basename(row["file"]))[0]
+    row["type"] = row["type"] or "sample"
+    if row["group"] is None and infer and row["type"] == "sample":
+        row["group"] = infer_group(row["id"])
+    row["expression_attribute"] = row["expression_attribute"] or []
+    return row
+
+
+def filled(row: dict, header: dict[str, str]) -> dict:
+    """A row whose open cells are taken from the header of its file; what the manifest says stays."""
+    row = row | {c: v for c, v in header.items() if c in COLUMNS and c != "file" and v and not row.get(c)}
+    if isinstance(row.get("expression_attribute"), str):
+        row["expression_attribute"] = attribute_names(row["expression_attribute"])
+    if row.get("type"):
+        row["type"] = row["type"].lower()
+        if row["type"] not in TYPES:
+            raise ValueError(f"{row['file']}: type {row['type']}")
+    return row
+
+
+def attribute_names(text: str | None) -> list[str]:
+    return [x.strip() for x in (text or "").split(",") if x.strip()]
+
+
+def parse_open(text: str, folder: str = "") -> tuple[list[dict], bool]:
+    """Rows as ``parse`` gives them but without defaults, and whether groups are inferred (there is no such column)."""
     header: list[str] | None = None
     rows = []
     for number, raw in enumerate(text.splitlines(), 1):
@@ -42,17 +76,14 @@ def parse(text: str, folder: str = "") -> list[dict]:
         path = values["file"]
         row = dict.fromkeys(COLUMNS) | {k: v for k, v in values.items() if k in COLUMNS}
         row["file"] = path if os.path.isabs(path) or not folder else os.path.join(folder, path)
-        row["id"] = row["id"] or os.path.splitext(os.path.basename(path))[0]
-        row["type"] = (row["type"] or "sample").lower()
-        if row["type"] not in ("sample", "annotation", "replicate"):
+        row["type"] = row["type"] and row["type"].lower()
+        if row["type"] and row["type"] not in TYPES:
             raise ValueError(f"line {number}: type {row['type']}")
-        if row["group"] is None and "group" not in header and row["type"] == "sample":
-            row["group"] = infer_group(row["id"])
-        row["expression_attribute"] = [x.strip() for x in (row["expression_attribute"] or "").split(",") if x.strip()]
+        row["expression_attribute"] = attribute_names(row["expression_attribute"])
         rows.append(row)
     if header is None:
         raise ValueError("no header")
-    return rows
+    return rows, "group" not in header
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

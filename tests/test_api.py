@@ -4,7 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from chainloom.api import Index
+from chainloom.api import Index, sample_rows
 from chainloom.sources import bam, gtf, index, reports, sam
 from chainloom.operators.matcher import MatchOptions
 
@@ -117,6 +117,28 @@ def test_gene_biotypes_of_files(spark, tmp_path):
     assert len(lines) == 1 + 2 * 5 and sum('gene_biotype "protein_coding";' in x for x in lines) == 1
 
 
+def test_headers_fill_what_the_manifest_leaves_open(spark, tmp_path):
+    single = [(9000, 9500)]
+    (tmp_path / "a.gtf").write_text(gtf_text([("A1", "G1", P4, ""), ("A2", "G2", single, "")], "##Type: Annotation\n##id: ref\n"))
+    (tmp_path / "s_rep1.gtf").write_text(gtf_text([("T1", "M1", P4, 'TPM "3";')], "##expression_attribute: TPM, cov\n##group: treated\n"))
+    head = b"@RG\tID:1\tSM:liver_rep2\n"
+    (tmp_path / "b.bam").write_bytes(gzip.compress(b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<i", 0)))
+    (tmp_path / "m.tsv").write_text("file\ttype\na.gtf\t.\ns_rep1.gtf\t.\nb.bam\tsample\n")
+    (tmp_path / "said.tsv").write_text("file\ttype\tid\na.gtf\tsample\town\n")
+    files = [str(tmp_path / x) for x in ("s_rep1.gtf", "b.bam", "a.gtf")]
+    for given in (str(tmp_path / "m.tsv"), files):
+        rows = {r["id"]: r for r in sample_rows(spark, given)}
+        assert {(k, r["type"], r["group"]) for k, r in rows.items()} == {("ref", "annotation", None), ("s_rep1", "sample", "treated"), ("liver_rep2", "sample", "liver")}
+        assert rows["s_rep1"]["expression_attribute"] == ["TPM", "cov"]
+    assert [(r["id"], r["type"]) for r in sample_rows(spark, [str(tmp_path / "said.tsv"), files[0]])] == [("own", "sample"), ("s_rep1", "sample")]
+    ix = Index.build(spark, [files[0], files[2]])
+    assert [(r["id"], r["is_annotation"]) for r in ix.structures.samples.orderBy("sample_id").collect()] == [("ref", True), ("s_rep1", False)]
+    assert {(r["gene_id"], r["n_exons"]) for r in ix.structures.segments.collect()} == {("G1", 4), ("G2", 1)}
+    (tmp_path / "bad.gtf").write_text("##type: other\n")
+    with pytest.raises(ValueError, match="bad.gtf: type other"):
+        sample_rows(spark, str(tmp_path / "bad.gtf"))
+
+
 def test_injected_counts(spark):
     lines = spark.createDataFrame([("f", 1, "#old"), ("f", 2, 'c\ts\ttranscript\t1\t2\t.\t+\t.\ttalon_transcript "7"; x "y";'), ("f", 3, 'c\ts\texon\t1\t2\t.\t+\t.\ttalon_transcript "7";')], "file_name string, line_no int, line string")
     out = [r["line"] for r in gtf.inject_counts(lines, spark.createDataFrame([("7", 5)], "transcript_id string, n bigint"), header={"type": "sample"}).orderBy("line_no").collect()]
