@@ -167,12 +167,19 @@ def union_schema(files: DataFrame, long: DataFrame, names: DataFrame) -> DataFra
 
 
 def unified(files: DataFrame, records: DataFrame) -> DataFrame:
-    """All records as one long table cast to the union schema: (feature_kind, file_id, record_id, rec_key, name, kind, text).
+    """All records as one long table cast to the union schema: (feature_kind, file_id, record_id, rec_key, name, kind, text, number, truth).
 
-    ``text`` is the value cast to the column's promoted kind; a record without a field has no row for it.
+    A value is cast to its column's promoted kind: ``number`` and ``truth`` hold those of kind number and boolean and are
+    null for the others; strings, arrays and objects (as JSON) are in ``text``, which has the canonical text of numbers and
+    booleans too. A record without a field has no row for it; one without any, or whose payload is no JSON object, has one
+    row without name and value.
     """
     long = fields(records)
     names = canonical_names(files, changes(files, records))
     schema = union_schema(files, long, names)
     placed = long.join(files.select("file_id", "feature_kind"), "file_id").join(names, ["feature_kind", "field"], "left").withColumn("name", F.coalesce("name", "field")).drop("kind", "field")
-    return placed.join(schema.drop("n_files"), ["feature_kind", "name"]).select("feature_kind", "file_id", "record_id", "rec_key", "name", "kind", "text")
+    text = F.col("text")
+    number, truth = (F.when(F.col("kind") == k, text.try_cast(t)) for k, t in (("number", "double"), ("boolean", "boolean")))
+    valued = placed.join(schema.drop("n_files"), ["feature_kind", "name"]).select("feature_kind", "file_id", "record_id", "rec_key", "name", "kind", "text", number.alias("number"), truth.alias("truth"))
+    without = records.filter(F.coalesce(F.size(F.json_object_keys("payload")), F.lit(-1)) <= 0).join(files.select("file_id", "feature_kind"), "file_id")
+    return valued.unionByName(without.select("feature_kind", "file_id", "record_id", "rec_key"), allowMissingColumns=True)

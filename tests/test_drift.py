@@ -57,6 +57,13 @@ def test_unified_follows_renames_and_promotes(spark):
     assert {r["kind"] for r in out if r["name"] == "ID"} == {"number"} and {r["kind"] for r in out if r["name"] == "t"} == {"string"}
 
 
+def test_unified_is_typed_and_keeps_records_without_fields(spark):
+    out = drift.unified(*setup(spark, {1: {"k": {"n": 2.50, "b": True, "s": "7", "o": {"x": 1}, "m": 1}, "empty": {}, "list": "[1]", "bad": "{", "none": None}, 2: {"k": {"m": False}}})).collect()
+    got = {(r["file_id"], r["name"]): (r["kind"], r["text"], r["number"], r["truth"]) for r in out if r["name"]}
+    assert got == {(1, "n"): ("number", "2.5", 2.5, None), (1, "b"): ("boolean", "true", None, True), (1, "s"): ("string", "7", None, None), (1, "o"): ("object", '{"x":1}', None, None), (1, "m"): ("string", "1", None, None), (2, "m"): ("string", "false", None, None)}
+    assert sorted(r["rec_key"] for r in out if r["name"] is None) == ["bad", "empty", "list", "none"]
+
+
 def test_previous_file_over_days_without_any(spark):
     f = spark.createDataFrame([(1, "p", "e", dt.datetime(2024, 1, 1), "", 0, ""), (2, "p", "e", dt.datetime(2024, 3, 1), "", 0, ""), (3, "p", "e", dt.datetime(2024, 3, 1), "", 0, ""), (4, "q", "e", dt.datetime(2024, 3, 1), "", 0, "")], FILES)
     assert sorted((r["file_id"], r["prev_id"] or 0) for r in drift.with_previous(f).collect()) == [(1, 0), (2, 1), (3, 2), (4, 0)]
