@@ -6,7 +6,10 @@ delivered just before for the same provider and feature kind. Kinds promote
 through a small lattice (one kind stays, several become string).
 
 Defined results: a payload that is no JSON object names no fields; a payload
-with a repeated field names it, but gives it no value; a field that is null
+with a repeated field names it, but gives it no value (its other fields have
+theirs; a value with a repeated field inside, or beyond the size of a variant,
+counts as it is written); a payload that only a lenient reader takes (single
+quotes, text after the object) names its fields without values; a field that is null
 throughout has no kind and causes no ``type_changed``; a file without records
 has no fields; records of unknown files are left out; of repeated rec_keys in
 a file the record with the largest record_id counts; equal delivery times are
@@ -16,6 +19,13 @@ most often counts, then the one with more common keys, then by name.
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+from json.decoder import scanstring
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +51,75 @@ def _kind(v: Column) -> Column:
     )
 
 
+_KINDS = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": None}
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_DECODER = json.JSONDecoder(strict=False, parse_int=str, parse_float=str)
+
+
+def _utf8(s: str) -> str:
+    return s.encode("utf-8", "replace").decode()
+
+
+def _members(payload: str) -> list[tuple[str, str]]:
+    """Names and values, as written, of the top-level fields of a JSON object; ValueError where it is none."""
+
+    def skip(at: int, expected: str = "") -> int:
+        at = _BLANKS.match(payload, at).end()
+        if expected and payload[at : at + 1] not in expected.split("|"):
+            raise ValueError(f"no {expected} at {at}")
+        return at
+
+    out = []
+    at = skip(skip(0, "{") + 1, '"|}')
+    while payload[at] != "}":
+        name, at = scanstring(payload, skip(at, '"') + 1, False)
+        begin = skip(skip(at, ":") + 1)
+        try:
+            _, end = _DECODER.raw_decode(payload, begin)
+        except StopIteration as e:
+            raise ValueError("no value") from e
+        out.append((_utf8(name), payload[begin:end]))
+        at = skip(end, ",|}")
+        at += payload[at] == ","
+    if skip(at + 1) < len(payload):
+        raise ValueError("text after the object")
+    return out
+
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Payloads to their fields with each value as written, its kind and its text; repeated fields and those of no strict JSON have none."""
+    for pdf in batches:
+        rows = []
+        for *ids, names, payload in zip(*(pdf[c] for c in ("record_id", "file_id", "rec_key", "names", "payload"))):
+            try:
+                members = _members(payload)
+            except (ValueError, RecursionError):
+                members = []
+            times = Counter(name for name, _ in members)
+            single = {name: value for name, value in members if times[name] == 1}
+            for name in names:
+                value = single.get(name)
+                kind = _KINDS.get(value[0], "number") if value else None
+                text = None if kind is None else _utf8(scanstring(value, 1, False)[0]) if kind == "string" else value
+                rows.append((*ids, name, value, kind, text))
+        yield pd.DataFrame(rows, columns=["record_id", "file_id", "rec_key", "field", "written", "written_kind", "written_text"])
+
+
 def fields(records: DataFrame) -> DataFrame:
     """(record_id, file_id, rec_key, field, kind, text) of every top-level field; kind and text are null for JSON null."""
     parsed = records.select("record_id", "file_id", "rec_key", F.json_object_keys("payload").alias("names"), F.try_parse_json("payload").alias("v"))
     whole = parsed.filter("names is not null and v is not null")
     valued = whole.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer())).select("record_id", "file_id", "rec_key", F.col("key").alias("field"), "value")
-    # payloads that repeat a field have no single value for it, and are no variants
-    bare = parsed.filter("names is not null and v is null").select("record_id", "file_id", "rec_key", F.explode(F.array_distinct("names")).alias("field"), F.lit(None).cast("variant").alias("value"))
-    rows = valued.unionByName(bare)
-    return rows.select("record_id", "file_id", "rec_key", "field", _kind(F.col("value")).alias("kind"), F.col("value").cast("string").alias("text"))
+    # payloads that repeat a field, on whatever level, or are too large are no variants; their fields are cut out one by one
+    odd = records.filter(F.json_object_keys("payload").isNotNull() & F.try_parse_json("payload").isNull())
+    columns = ["record_id", "file_id", "rec_key", "field"]
+    # ids pass as text, as pandas makes floats of integers with nulls
+    odd = odd.select(*(F.col(c).cast("string") for c in columns[:3]), F.array_distinct(F.json_object_keys("payload")).alias("names"), "payload")
+    parts = odd.mapInPandas(_cut, "record_id string, file_id string, rec_key string, field string, written string, written_kind string, written_text string").withColumns({c: F.col(c).cast(records.schema[c].dataType) for c in columns[:3]} | {"value": F.try_parse_json("written")})
+    whole_rows = valued.select(*columns, _kind(F.col("value")).alias("kind"), F.col("value").cast("string").alias("text"))
+    # the kind and text as written count where the value itself is no variant either
+    part_rows = parts.select(*columns, F.when(F.col("value").isNull(), F.col("written_kind")).otherwise(_kind(F.col("value"))).alias("kind"), F.when(F.col("value").isNull(), F.col("written_text")).otherwise(F.col("value").cast("string")).alias("text"))
+    return whole_rows.unionByName(part_rows)
 
 
 def with_previous(files: DataFrame) -> DataFrame:

@@ -64,6 +64,22 @@ def test_unified_is_typed_and_keeps_records_without_fields(spark):
     assert sorted(r["rec_key"] for r in out if r["name"] is None) == ["bad", "empty", "list", "none"]
 
 
+def test_only_the_repeated_field_is_without_value(spark):
+    payloads = {
+        "twice": '{"a": 1, "x": "s\\u00e9", "a": 2, "n": null, "d": 5.0, "y": {"k": [1, {"q": "}"}]}}', "inner": '{"o": {"r": 1, "r": 2}, "b": true, "l" : [ ] }',
+        "lenient": "{'a': 1, 'z': 2}", "big": '{"a": 1, "a": 1, "i": 12345678901234567890}',
+    }
+    _, records = setup(spark, {1: payloads})
+    got = {(r["rec_key"], r["field"]): (r["kind"], r["text"]) for r in drift.fields(records).collect()}
+    assert got == {
+        ("twice", "a"): (None, None), ("twice", "x"): ("string", "sé"), ("twice", "n"): (None, None), ("twice", "d"): ("number", "5"), ("twice", "y"): ("object", '{"k":[1,{"q":"}"}]}'),
+        ("inner", "o"): ("object", '{"r": 1, "r": 2}'), ("inner", "b"): ("boolean", "true"), ("inner", "l"): ("array", "[]"), ("lenient", "a"): (None, None), ("lenient", "z"): (None, None),
+        ("big", "a"): (None, None), ("big", "i"): ("number", "12345678901234567890"),
+    }
+    a = {f"k{i}": f'{{"id": {i}, "r": 1, "r": 2}}' for i in range(10)}
+    assert changes(spark, {1: a, 2: {k: v.replace('"id"', '"ID"') for k, v in a.items()}}) == [(2, "renamed", "id", "ID")]
+
+
 def test_previous_file_over_days_without_any(spark):
     f = spark.createDataFrame([(1, "p", "e", dt.datetime(2024, 1, 1), "", 0, ""), (2, "p", "e", dt.datetime(2024, 3, 1), "", 0, ""), (3, "p", "e", dt.datetime(2024, 3, 1), "", 0, ""), (4, "q", "e", dt.datetime(2024, 3, 1), "", 0, "")], FILES)
     assert sorted((r["file_id"], r["prev_id"] or 0) for r in drift.with_previous(f).collect()) == [(1, 0), (2, 1), (3, 2), (4, 0)]
