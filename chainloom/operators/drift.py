@@ -14,7 +14,8 @@ throughout has no kind and causes no ``type_changed``; a file without records
 has no fields; records of unknown files are left out; of repeated rec_keys in
 a file the record with the largest record_id counts; equal delivery times are
 ordered by file_id. Of several possible renames of a field the one that agrees
-most often counts, then the one with more common keys, then by name.
+most often counts, then the one with more common keys, then by name; fields whose
+best match is taken go to the best one that is left.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from json.decoder import scanstring
 
 import pandas as pd
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
+from ..plans.grouped import fold_groups
 
 #: Share of common non-null values, in tenths, from which a gone and a new field are the same.
 RENAME_TENTHS = 9
@@ -155,6 +157,16 @@ def _sides(files: DataFrame, schemas: DataFrame) -> DataFrame:
     return now.unionByName(was).groupBy("file_id", "prev_id", "field").agg(F.first("now", ignorenulls=True).alias("now"), F.first("was", ignorenulls=True).alias("was"))
 
 
+def _matched(key: tuple, pairs: Iterable[tuple]) -> Iterator[tuple]:
+    """Pairs of a file, best first, to those whose fields are both free: what rounds of mutual-best pairs give in the end."""
+    olds, news = set(), set()
+    for _, old, new, *_ in pairs:
+        if old not in olds and new not in news:
+            olds.add(old)
+            news.add(new)
+            yield (*key, old, new)
+
+
 def renames(long: DataFrame, sides: DataFrame) -> DataFrame:
     """(file_id, old_field, new_field, was, now): gone fields that live on under a new name."""
     gone = sides.filter(F.col("now").isNull()).select("file_id", "prev_id", F.col("field").alias("old_field"), "was")
@@ -168,9 +180,8 @@ def renames(long: DataFrame, sides: DataFrame) -> DataFrame:
     both = old_values.select("file_id", "rec_key", F.col("field").alias("old_field"), F.col("text").alias("old_text")).join(new_values.select("file_id", "rec_key", F.col("field").alias("new_field"), F.col("text").alias("new_text")), ["file_id", "rec_key"])
     agree = both.groupBy("file_id", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old_text") == F.col("new_text")).alias("same"))
     likely = agree.filter(F.col("same") * 10 >= F.col("n") * RENAME_TENTHS).withColumn("share", F.col("same") / F.col("n"))
-    by_old = Window.partitionBy("file_id", "old_field").orderBy(F.desc("share"), F.desc("n"), "new_field")
-    by_new = Window.partitionBy("file_id", "new_field").orderBy(F.desc("share"), F.desc("n"), "old_field")
-    best = likely.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).filter((F.col("a") == 1) & (F.col("b") == 1))
+    ranked = likely.select("file_id", "old_field", "new_field", (-F.col("share")).alias("worse"), (-F.col("n")).alias("fewer"))
+    best = fold_groups(ranked, ["file_id"], ["worse", "fewer", "old_field", "new_field"], _matched, f"file_id {ranked.schema['file_id'].dataType.simpleString()}, old_field string, new_field string")
     return best.select("file_id", "old_field", "new_field").join(gone.select("file_id", "old_field", "was"), ["file_id", "old_field"]).join(new, ["file_id", "new_field"])
 
 

@@ -80,6 +80,14 @@ def test_only_the_repeated_field_is_without_value(spark):
     assert changes(spark, {1: a, 2: {k: v.replace('"id"', '"ID"') for k, v in a.items()}}) == [(2, "renamed", "id", "ID")]
 
 
+def test_fields_of_equal_values_are_all_renamed(spark):
+    a = {f"k{i}": {"A": 1, "B": 1, "C": i} for i in range(10)}
+    b = {f"k{i}": {"X": 1, "Y": 1, "Z": i} for i in range(10)}
+    assert changes(spark, {1: a, 2: b}) == [(2, "renamed", "A", "X"), (2, "renamed", "B", "Y"), (2, "renamed", "C", "Z")]
+    c = {f"k{i}": {"X": 1, "Z": i} for i in range(10)}
+    assert changes(spark, {1: a, 2: c}) == [(2, "removed", "B", ""), (2, "renamed", "A", "X"), (2, "renamed", "C", "Z")]
+
+
 def test_previous_file_over_days_without_any(spark):
     f = spark.createDataFrame([(1, "p", "e", dt.datetime(2024, 1, 1), "", 0, ""), (2, "p", "e", dt.datetime(2024, 3, 1), "", 0, ""), (3, "p", "e", dt.datetime(2024, 3, 1), "", 0, ""), (4, "q", "e", dt.datetime(2024, 3, 1), "", 0, "")], FILES)
     assert sorted((r["file_id"], r["prev_id"] or 0) for r in drift.with_previous(f).collect()) == [(1, 0), (2, 1), (3, 2), (4, 0)]
