@@ -99,7 +99,7 @@ def read_transcripts(spark: SparkSession, paths: list[str], ids: DataFrame, anno
     text, binary = [p for p in paths if manifest.file_kind(p) == "alignment_text"], [p for p in paths if manifest.file_kind(p) == "alignment_binary"]
     out = _empty(spark)
     for lines in ([gtf.read_lines(spark, text)] if text else []) + ([bam.read_lines(spark, binary)] if binary else []):
-        for r in ids.filter(F.col("file_name").isin([p.rsplit("/", 1)[-1] for p in paths])).select("file_name", "sample_id").limit(100_000).collect():
+        for r in ids.filter(F.col("file_name").isin([p.rsplit("/", 1)[-1] for p in paths])).select("file_name", "sample_id").collect():
             reads = _kept(sam.reads(lines.filter(F.col("file_name") == r["file_name"]), min_mapq), include_scaffolds, chromosomes)
             t = clusters.as_transcripts(clusters.cluster(reads), min_counts).withColumnRenamed("transcript_id", "own_id")
             genes = annotated.select(F.col("transcript_id").alias("ref_id"), "seqid", "strand", F.col("start_pos").alias("r0"), F.col("end_pos").alias("r1"), F.col("gene_id").alias("ref_gene"))

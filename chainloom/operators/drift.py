@@ -35,7 +35,7 @@ from ..plans.grouped import fold_groups
 
 #: Share of common non-null values, in tenths, from which a gone and a new field are the same.
 RENAME_TENTHS = 9
-#: Largest number of distinct field names of one feature kind that the unified schema may have.
+#: Largest number of distinct pairs of renamed fields, over all feature kinds, that the unified schema may follow; more raise.
 MAX_NAMES = 20_000
 STREAM = ["provider", "feature_kind"]
 

@@ -81,8 +81,9 @@ def passes_expression(declared: list[str], thresholds: dict[str, float]) -> Colu
 
 def unused_filters(thresholds: dict[str, float], declared: DataFrame) -> list[str]:
     """Active thresholds whose attribute no sample declares."""
-    names = {r["a"] for r in declared.select(F.explode("expression_attributes").alias("a")).distinct().limit(10_000).collect()}
-    return sorted(k for k, v in thresholds.items() if v >= 0 and k not in names)
+    active = [k for k, v in thresholds.items() if v >= 0]
+    names = {r["a"] for r in declared.select(F.explode("expression_attributes").alias("a")).filter(F.col("a").isin(active)).distinct().collect()}
+    return sorted(k for k in active if k not in names)
 
 
 def export_lines(members: DataFrame, exons: DataFrame, genes: DataFrame) -> DataFrame:

@@ -24,5 +24,5 @@ def summary_text(overview: DataFrame, counters: DataFrame, by_sequence: DataFram
     parts = ["# Build"]
     parts += [f"{r['outcome']}\t{r['n']}" for r in counters.orderBy("outcome").collect()]
     parts += ["# Index"] + [f"{r['metric']}\t{r['value']:g}" for r in overview.orderBy("metric").collect()]
-    parts += ["# Sequences", "seqid\tgenes\tsegments\texons"] + [f"{r['seqid']}\t{r['genes']}\t{r['segments']}\t{r['exons']}" for r in by_sequence.orderBy("seqid").limit(100_000).collect()]
+    parts += ["# Sequences", "seqid\tgenes\tsegments\texons"] + [f"{r['seqid']}\t{r['genes']}\t{r['segments']}\t{r['exons']}" for r in by_sequence.orderBy("seqid").toLocalIterator()]
     return "\n".join(parts) + "\n"

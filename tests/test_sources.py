@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.scalars import conserved_threshold
 from chainloom.operators import model
-from chainloom.sources import gtf, index, manifest, sam
+from chainloom.sources import gtf, index, manifest, reports, sam
 from chainloom.streaming import reads as streams
 
 GTF = """##id: s1
@@ -54,6 +54,14 @@ def test_sam(spark):
     assert (h["sample"], h["platform"], h["program"], h["version"]) == ("sam1", "ONT", "mm2", "2.1")
 
 
+def test_many_names_and_sequences_are_not_cut(spark):
+    declared = spark.range(12_000).select(F.array(F.concat(F.lit("a"), F.col("id").cast("string"))).alias("expression_attributes"))
+    assert gtf.unused_filters({f"a{k}": 1.0 for k in range(0, 12_000, 8)} | {"b": 1.0, "off": -1.0}, declared) == ["b"]
+    by_sequence = spark.range(100_005).select(F.format_string("s%06d", "id").alias("seqid"), *(F.lit(1).alias(c) for c in ("genes", "segments", "exons")))
+    text = reports.summary_text(spark.createDataFrame([("m", 1.0)], "metric string, value double"), spark.createDataFrame([("created", 1)], "outcome string, n int"), by_sequence)
+    assert text.endswith("s100004\t1\t1\t1\n") and text.count("\t1\t1\t1\n") == 100_005
+
+
 def test_manifest():
     rows = manifest.parse("# c\n\nFILE\tType\tspecies\texpression_attribute\na_rep2.gtf\tSample\t.\tcov, TPM\n/x/b.bam\t.\tfrog\t.\nc.gtf.gz\tannotation\t\t\n", "/m")
     assert [(r["file"], r["id"], r["type"], r["group"]) for r in rows] == [("/m/a_rep2.gtf", "a_rep2", "sample", "a"), ("/x/b.bam", "b", "sample", "b"), ("/m/c.gtf.gz", "c.gtf", "annotation", None)]
