@@ -276,7 +276,7 @@ def transcript_decisions(transcripts: DataFrame, decided: DataFrame) -> DataFram
 
 
 def counters(decisions: DataFrame) -> DataFrame:
-    """(outcome, n): input, merged, discarded and created transcripts."""
+    """(outcome, n): created, merged and dropped transcripts, by the outcome of their structure's arrival."""
     outcome = F.regexp_extract("decision", "^[a-z]+", 0)
     return decisions.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
