@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,3 +23,8 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from the files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def checked_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked to be sent to all tasks if it has at most ``most_rows`` rows, as it is otherwise; give it something durable, for it is counted."""
+    return F.broadcast(df) if df.count() <= most_rows else df
