@@ -48,8 +48,13 @@ NAMES = {
     "ru": ("rus", "russian"),
     "uk": ("ukr", "ukrainian"),
 }
-#: Bound of the training sample: labelled lines, and labelled articles of each language.
-MAX_LINES, ARTICLES_PER_LANGUAGE = 5_000, 60
+#: Bound of the training sample: labelled lines and labelled articles of each language.
+LINES_PER_LANGUAGE, ARTICLES_PER_LANGUAGE = 500, 60
+#: One in so many sentences of the sample is held out to find the temperature, and told by pieces of so many words.
+HELD_OUT = 4
+PIECE = 2
+#: Temperatures tried: parts of the log-likelihoods that count.
+TEMPERATURES = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0)
 #: Times the model is fitted again with the sentences that agree.
 TRAINING_ROUNDS = 2
 #: Weight, in articles, of the wider level in a prior.
@@ -60,8 +65,9 @@ LABEL_TRUST, MARKUP_TRUST, SUFFIX_TRUST = 0.9, 0.9, 0.6
 PRIOR_LETTERS = 5
 #: Words whose vectors a worker keeps.
 MAX_WORDS = 300_000
-#: Hosts up to which the priors are sent to all tasks instead of joined by a shuffle.
-MAX_BROADCAST_HOSTS = 50_000
+#: Priors that are sent to all tasks. Of more hosts than this the priors are joined by a shuffle, but those of the hosts
+#: that hold more than one in ``HOT_PARTS`` articles (at most as many) are still sent, so that no host's articles gather.
+SENT_HOSTS, HOT_PARTS = 50_000, 500
 
 _WORD = r"[^\W\d_]+(?:['’][^\W\d_]+)*"
 _PIECES = re.compile(rf"{_WORD}|[.!?\"“”„«»\0]|''|``")
@@ -77,45 +83,72 @@ def label_language(c: Column) -> Column:
     return F.when(code != "", F.try_element_at(known, code)).when(F.size(words) == 1, words[0])
 
 
+ORDERS = (1, 2, 3, 4)
+#: Count, in n-grams of a language of median size, that an n-gram must exceed to say much.
+SMOOTH = 0.3
+
+
+def _grams(word: str, order: int) -> list[str]:
+    w = word if order == 1 else f" {word} "
+    return [w[i : i + order] for i in range(len(w) - order + 1)]
+
+
 class Model:
     """Naive Bayes over character n-grams: ``vector`` gives a word's log-likelihood in each language."""
 
-    ORDERS = (1, 2, 3, 4)
-    SMOOTH = 0.3
-
-    def __init__(self, texts: list[tuple[str, str]]) -> None:
-        self.langs = sorted({lang for lang, _ in texts})
-        at = {lang: k for k, lang in enumerate(self.langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in self.ORDERS]
-        words = Counter((lang, w) for lang, text in texts for w in re.findall(_WORD, text.lower()))
-        for (lang, word), n in words.items():
-            for found, order in zip(counts, self.ORDERS):
-                for g in self._grams(word, order):
-                    row = found.get(g)
-                    if row is None:
-                        row = found[g] = np.zeros(len(self.langs))
-                    row[at[lang]] += n
-        self.tables, self.unseen = [], []
-        for found in counts:
-            total = sum(found.values()) + 1e-9
-            # shares, not counts: a language with more training text isn't likelier; an n-gram that nobody has seen says nothing
-            least = self.SMOOTH / np.median(total)
-            self.tables.append({g: np.log1p(row / total / least) for g, row in found.items()})
-        self.zero = np.zeros(len(self.langs))
-
-    @staticmethod
-    def _grams(word: str, order: int) -> list[str]:
-        w = word if order == 1 else f" {word} "
-        return [w[i : i + order] for i in range(len(w) - order + 1)]
+    def __init__(self, langs: list[str], table: dict[str, np.ndarray]) -> None:
+        self.langs, self.table, self.zero = langs, table, np.zeros(len(langs))
 
     def vector(self, word: str) -> np.ndarray:
         out = self.zero.copy()
-        for table, order in zip(self.tables, self.ORDERS):
-            for g in self._grams(word, order):
-                row = table.get(g)
+        for order in ORDERS:
+            for g in _grams(word, order):
+                row = self.table.get(g)
                 if row is not None:
                     out += row
-        return out / len(self.ORDERS)
+        return out
+
+
+class Corpus:
+    """Sentences whose words and n-grams are numbered once for all fits of a model."""
+
+    def __init__(self, sentences: list[list[str]], langs: list[str]) -> None:
+        self.langs = langs
+        words: dict[str, int] = {}
+        self.word = np.array([words.setdefault(w, len(words)) for s in sentences for w in s], dtype=np.int64)
+        sizes = np.array([len(s) for s in sentences], dtype=np.int64)
+        self.start, self.sentence = np.r_[0, np.cumsum(sizes)[:-1]], np.repeat(np.arange(len(sentences)), sizes)
+        self.grams: dict[str, int] = {}
+        own = [[self.grams.setdefault(g, len(self.grams)) for order in ORDERS for g in _grams(w, order)] for w in words]
+        self.gram = np.array([g for x in own for g in x], dtype=np.int64)
+        n = np.array([len(x) for x in own], dtype=np.int64)
+        self.gram_start, self.gram_word = np.r_[0, np.cumsum(n)[:-1]], np.repeat(np.arange(len(words)), n)
+        self.order = np.array([len(g) for g in self.grams])
+        self.n_words = len(words)
+
+    def fit(self, lang: np.ndarray, temperature: float = 1.0) -> np.ndarray:
+        """Log-likelihoods of each n-gram; ``lang`` numbers the language of each sentence, -1 for those left out."""
+        used = lang[self.sentence] >= 0
+        table = np.zeros((len(self.grams), len(self.langs)))
+        for k in range(len(self.langs)):
+            times = np.bincount(self.word[used & (lang[self.sentence] == k)], minlength=self.n_words)
+            table[:, k] = np.bincount(self.gram, weights=times[self.gram_word], minlength=len(self.grams))
+        for order in ORDERS:
+            at = self.order == order
+            total = table[at].sum(axis=0) + 1e-9
+            # shares, not counts: a language with more training text isn't likelier; an n-gram that nobody has seen says nothing
+            table[at] = np.log1p(table[at] / total / (SMOOTH / np.median(total)))
+        return table * (temperature / len(ORDERS))
+
+    def words(self, table: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of the words in the order they come in."""
+        return np.add.reduceat(table[self.gram], self.gram_start)[self.word]
+
+    def scores(self, table: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.words(table), self.start)
+
+    def model(self, table: np.ndarray) -> Model:
+        return Model(self.langs, {g: row for g, row in zip(self.grams, table) if row.any()})
 
 
 class Scorer:
@@ -176,34 +209,69 @@ def posterior(loglik: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _first_of_each(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The ``n`` rows of each ``code`` that come first; each task keeps no more than so many of its own before they meet."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(*order))).filter(F.col("n") <= n).drop("n")
+
+
+def _temperature(corpus: Corpus, lang: np.ndarray) -> float:
+    """The temperature at which a model of three quarters of the sentences foretells the language of short pieces of the others best.
+
+    N-grams overlap and neighbouring words depend on each other, so that sums of their log-likelihoods claim more than they know.
+    Whole sentences are nearly always told right, whatever the temperature; pieces of ``PIECE`` words are not.
+    """
+    held = (lang >= 0) & (np.arange(len(lang)) % HELD_OUT == 0)
+    words = corpus.words(corpus.fit(np.where(held, -1, lang)))
+    mine = held[corpus.sentence]
+    place = np.arange(len(corpus.word)) - corpus.start[corpus.sentence]
+    words, truth, first = words[mine], lang[corpus.sentence[mine]], np.flatnonzero(place[mine] % PIECE == 0)
+    if not len(first):
+        return 1.0
+    scores, truth = np.add.reduceat(words, first), truth[first]
+    loss = [-np.log(np.maximum(posterior(t * scores)[np.arange(len(truth)), truth], 1e-12)).mean() for t in TEMPERATURES]
+    return TEMPERATURES[int(np.argmin(loss))]
+
+
+def fitted(texts: list[tuple[str, str]], articles: list[tuple[str, list[list[str]]]] = ()) -> Model:
+    """Model of labelled texts and of the sentences of labelled articles that agree with their label."""
+    langs = sorted({lang for lang, _ in texts})
+    at = {lang: k for k, lang in enumerate(langs)}
+    lines = [(at[lang], words) for lang, text in texts if (words := re.findall(_WORD, text.lower()))]
+    owned = [(n, at[lang], words) for n, (lang, own) in enumerate(articles) if lang in at for words in own]
+    corpus = Corpus([w for _, w in lines] + [w for _, _, w in owned], langs)
+    said = np.array([k for k, _ in lines] + [k for _, k, _ in owned], dtype=np.int64)
+    article = np.array([n for n, _, _ in owned], dtype=np.int64)
+    # at first all labels are believed; most are right
+    lang = said.copy()
+    for _ in range(TRAINING_ROUNDS if owned else 0):
+        scores, mine = corpus.scores(corpus.fit(lang))[len(lines) :], said[len(lines) :]
+        whole = np.zeros((len(articles), len(langs)))
+        np.add.at(whole, article, scores)
+        # a wrong label shows in the whole article, a passage in another language in its own sentences
+        agree = (whole.argmax(axis=1)[article] == mine) & (scores.argmax(axis=1) == mine)
+        lang = said.copy()
+        lang[len(lines) :][~agree] = -1
+    return corpus.model(corpus.fit(lang, _temperature(corpus, lang)))
+
+
 def train(lines: DataFrame, documents: DataFrame) -> Model:
     """Fit on the labelled lines and the sentences of sampled articles, then again with those that agree with their label.
 
-    The sample is bounded by ``MAX_LINES`` and ``ARTICLES_PER_LANGUAGE``: for each language the labelled articles
-    with the smallest hash of their id, so that it is the same on every run.
+    The sample is bounded by ``LINES_PER_LANGUAGE`` and ``ARTICLES_PER_LANGUAGE``: for each language the labelled lines
+    and articles with the smallest hash, so that it is the same on every run and no language crowds out another.
     """
-    sample = lines.select(label_language(F.col("lang")).alias("code"), "text").filter("code is not null and text is not null").orderBy("code", "text").limit(MAX_LINES)
-    labelled = [(r["code"], r["text"]) for r in sample.collect()]
+    code = label_language(F.col("lang"))
+    sample = lines.select(code.alias("code"), "text", F.xxhash64("text").alias("h")).filter("code is not null and text is not null")
+    labelled = [(r["code"], r["text"]) for r in _first_of_each(sample, ["h", "text"], LINES_PER_LANGUAGE).collect()]
     if not labelled:
         raise ValueError("no labelled lines to train on")
-    first = Model(labelled)
-    code = label_language(F.col("lang"))
-    order = Window.partitionBy("code").orderBy("h", "doc_id")
-    ids = documents.select("doc_id", code.alias("code"), F.xxhash64("doc_id").alias("h")).filter(F.col("code").isin(first.langs) & F.col("doc_id").isNotNull())
-    chosen = [r["doc_id"] for r in ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= ARTICLES_PER_LANGUAGE).select("doc_id").collect()]
-    articles = documents.filter(F.col("doc_id").isin(chosen)).select(code.alias("code"), "text").dropna().limit(4 * len(chosen) + 1).collect()
-    sentences = [(first.langs.index(r["code"]), [s for s in re.split(r"[.!?\0]|''|``", blocks(r["text"])) if len(re.findall(_WORD, s)) >= 3]) for r in articles]
-    # at first all labels are believed; most are right
-    model = Model(labelled + [(first.langs[k], s) for k, own in sentences for s in own])
-    for _ in range(TRAINING_ROUNDS):
-        agreeing = []
-        for k, own in sentences:
-            scores = np.array([sum(map(model.vector, re.findall(_WORD, s.lower()))) for s in own])
-            # a wrong label shows in the whole article, a passage in another language in its own sentences
-            if len(scores) and scores.sum(axis=0).argmax() == k:
-                agreeing += [(model.langs[k], s) for s, x in zip(own, scores) if x.argmax() == k]
-        model = Model(labelled + agreeing)
-    return model
+    ids = documents.select("doc_id", code.alias("code"), F.xxhash64("doc_id").alias("h")).filter(F.col("code").isin(sorted({x for x, _ in labelled})) & F.col("doc_id").isNotNull())
+    chosen = [r["doc_id"] for r in _first_of_each(ids, ["h", "doc_id"], ARTICLES_PER_LANGUAGE).collect()]
+    # an id may be there more often than once
+    found = documents.filter(F.col("doc_id").isin(chosen)).select("doc_id", code.alias("code"), "text", F.xxhash64("doc_id").alias("h")).dropna()
+    articles = _first_of_each(found, ["h", "doc_id", "text"], ARTICLES_PER_LANGUAGE).collect()
+    own = [(r["code"], [w for s in re.split(r"[.!?\0]|''|``", blocks(r["text"])) if len(w := re.findall(_WORD, s.lower())) >= 3]) for r in sorted(articles, key=lambda r: (r["code"], r["h"], r["doc_id"], r["text"]))]
+    return fitted(sorted(labelled), own)
 
 
 EVIDENCE_SCHEMA = "doc_id {id}, source_key string, venue string, label string, declared string, suffix string, block array<int>, letters array<int>, loglik array<float>"
@@ -244,11 +312,11 @@ def _evidence_of(model: Model):
 
 
 def host_priors(documents: DataFrame, langs: list[str]) -> DataFrame:
-    """(source_key, venue, prior): share of each language among the declared ones of a venue, smoothed level by level."""
+    """(source_key, venue, n_articles, prior): share of each language among the declared ones of a venue, smoothed level by level."""
     code = label_language(F.col("lang"))
     counts = [F.count_if(F.col("code") == x).cast("double") for x in langs]
     rows = documents.select(_key_of(F.col("source")).alias("source_key"), F.coalesce("venue", F.lit("")).alias("venue"), code.alias("code"))
-    venues = rows.groupBy("source_key", "venue").agg(F.array(*counts).alias("seen"))
+    venues = rows.groupBy("source_key", "venue").agg(F.array(*counts).alias("seen"), F.count(F.lit(1)).alias("n_articles"))
     added = F.array(*(F.sum(F.col("seen")[k]) for k in range(len(langs))))
     sources = venues.groupBy("source_key").agg(added.alias("of_source"))
     everywhere = sources.agg(F.array(*(F.sum(F.col("of_source")[k]) for k in range(len(langs))))).scalar()
@@ -260,7 +328,7 @@ def host_priors(documents: DataFrame, langs: list[str]) -> DataFrame:
     flat = F.array(*(F.lit(1.0 / len(langs)) for _ in langs))
     joined = venues.join(sources, "source_key").withColumn("everywhere", everywhere).withColumn("top", smoothed(F.col("everywhere"), flat))
     wide = joined.withColumn("middle", smoothed(F.col("of_source"), F.col("top")))
-    return wide.select("source_key", "venue", smoothed(F.col("seen"), F.col("middle")).alias("prior"))
+    return wide.select("source_key", "venue", "n_articles", smoothed(F.col("seen"), F.col("middle")).alias("prior"))
 
 
 def _key_of(c: Column) -> Column:
@@ -322,6 +390,19 @@ def _fused(langs: list[str]):
     return fuse
 
 
+def with_priors(evidence: DataFrame, priors: DataFrame, sent: int = SENT_HOSTS) -> DataFrame:
+    """``evidence`` with the ``prior`` of its (source_key, venue); ``priors`` must be durable, for it is counted."""
+    host = ["source_key", "venue"]
+    if priors.count() <= sent:
+        return evidence.join(F.broadcast(priors.select(*host, "prior")), host, "left")
+    everything = priors.agg(F.sum("n_articles")).scalar()
+    # these hosts hold more than one in HOT_PARTS articles each, so there are fewer than HOT_PARTS
+    hot = priors.filter(F.col("n_articles") * HOT_PARTS > everything).select(*host, F.col("prior").alias("hot_prior"))
+    marked = evidence.join(F.broadcast(hot), host, "left").withColumn("spread", F.when(F.col("hot_prior").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(HOT_PARTS))).otherwise(F.lit(0)))
+    rest = priors.select(*host, F.lit(0).cast("long").alias("spread"), "prior")
+    return marked.join(rest, [*host, "spread"], "left").withColumn("prior", F.coalesce("hot_prior", "prior")).drop("hot_prior", "spread")
+
+
 def identify(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, label, main, confidence, block, lang, block_confidence) of each article.
 
@@ -334,8 +415,7 @@ def identify(documents: DataFrame, lines: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", _key_of(F.col("source")).alias("source_key"), F.coalesce("venue", F.lit("")).alias("venue"), label_language(F.col("lang")).alias("label"), suffix.alias("suffix"), "text")
     evidence = texts.mapInArrow(_evidence_of(model), EVIDENCE_SCHEMA.format(id=kind))
     priors = durable(host_priors(documents, model.langs))
-    small = priors.count() <= MAX_BROADCAST_HOSTS
-    joined = evidence.join(F.broadcast(priors) if small else priors, ["source_key", "venue"], "left")
+    joined = with_priors(evidence, priors)
     return joined.mapInArrow(_fused(model.langs), RESULT_SCHEMA.format(id=kind))
 
 

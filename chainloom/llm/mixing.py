@@ -9,20 +9,24 @@ The fractional probabilities become 0 or 1 by the cube method's flight phase:
 a direction in the null space of the constraints changes neither the sum of the
 probabilities nor the expected size; the probabilities of a window of undecided
 items move along it, one way or the other at random, until one is decided. Each partition does this for each source
-and is left with at most two undecided items; those of FAN_IN partitions are
-decided together, in a tree. The last undecided items of a source (at most two)
-are the landing problem: the combination nearest to the goal in size is taken.
+and is left with at most ``LANDING`` undecided items; those of FAN_IN partitions are
+decided together, in a tree. The last undecided items of a source are the
+landing problem: of all their combinations the one that misses the goals in size
+and number least is taken. An item that outweighs all
+others is among these, together with smaller ones that make up for it.
 
 Defined results: items of no listed source are left out; null sizes count 0;
 null or negative weights count 0 and a null repeat limit is 1; a listed source
-without items is ``short`` when its goal is positive; of targets that spell the
-same source alike the first by name counts; empty tables give an empty sample
-and a report with nothing picked.
+without items is ``short`` when its goal is positive; two targets that spell the
+same source alike are an error; empty tables give an empty sample and a report
+with nothing picked. Where a source is short, nothing else makes up for it: the
+others keep their goals, and ``share_of_goals`` has what each reaches of all goals
+beside ``share``, its part of all that is picked.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import checked_broadcast, durable
 
 FAN_IN = 32
 #: Undecided items that a task holds per source.
 WINDOW = 24
-#: Most target rows; they are read by the driver and sent to all tasks.
-MAX_TARGETS = 10_000
+#: Undecided items at which a flight ends and the landing begins.
+LANDING = 10
+#: Targets that are sent to all tasks; more are joined by a shuffle.
+SENT_TARGETS = 10_000
 _EPS = 1e-9
 
 
@@ -72,9 +78,9 @@ class Flight:
         return out
 
     def finish(self) -> list[tuple]:
-        """Go on without further items until at most two are undecided."""
+        """Go on without further items until at most ``LANDING`` are undecided."""
         out: list[tuple] = []
-        while len(self.items) > 2:
+        while len(self.items) > LANDING:
             out += self._move()
         return out
 
@@ -118,102 +124,112 @@ class Flight:
         return out
 
 
+def _random(seed: int, part: int, key: str, round_no: int = 0) -> np.random.Generator:
+    return np.random.default_rng([seed, part, zlib.crc32(key.encode()), round_no])
+
+
+_COLUMNS = ["node", "key", "item_id", "size", "whole", "picked", "p"]
+_SCHEMA = "node int, key string, item_id string, size bigint, whole int, picked int, p double"
+
+
 def _flyer(seed: int):
     def fly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        flights: dict[int, Flight] = {}
-        names = ["node", "source_no", "item_id", "size", "whole", "picked", "p"]
+        flights: dict[str, Flight] = {}
         for pdf in batches:
             rows: list[tuple] = []
-            for item, k, size, whole, p in zip(pdf["item_id"], pdf["source_no"], pdf["size"], pdf["whole"], pdf["p"]):
+            for item, k, size, whole, p in zip(pdf["item_id"], pdf["key"], pdf["size"], pdf["whole"], pdf["p"]):
                 flight = flights.get(k)
                 if flight is None:
-                    flight = flights[k] = Flight(np.random.default_rng([seed, part, int(k)]))
+                    flight = flights[k] = Flight(_random(seed, part, k))
                 rows += [(part, k, i, s, w, x, None) for (i, w), s, x in flight.add((item, whole), p, size)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=_COLUMNS)
         last = [(part, k, i, s, w, x, None) for k, f in flights.items() for (i, w), s, x in f.finish()]
-        yield pd.DataFrame(last + [(part, k, i, s, w, None, p) for k, f in flights.items() for (i, w), p, s in f.left()], columns=names)
+        yield pd.DataFrame(last + [(part, k, i, s, w, None, p) for k, f in flights.items() for (i, w), p, s in f.left()], columns=_COLUMNS)
 
     return fly
 
 
+def landed(left: list[tuple]) -> list[int]:
+    """0 or 1 for each undecided (item, p, size): the combination that misses least. A tenth of the mean size counts as much as one item in the number."""
+    p, size = np.array([h[1] for h in left]), np.array([h[2] for h in left])
+    choices = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    miss = 10 * np.abs(choices @ size - p @ size) / max(size.mean(), _EPS) + np.abs(choices.sum(axis=1) - p.sum())
+    return choices[miss.round(6).argmin()].tolist()
+
+
 def _decider(seed: int, round_no: int, land: bool):
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        """At most 2 * FAN_IN undecided items of one source meet here."""
+        """At most LANDING * FAN_IN undecided items of one source meet here."""
         pdf = pdf.assign(known=pdf["item_id"].fillna("")).sort_values(["size", "known"], ascending=[False, True])
-        k, node = int(pdf["source_no"].iloc[0]), int(pdf["node"].iloc[0])
-        flight = Flight(np.random.default_rng([seed, node, k, round_no]))
+        k, node = pdf["key"].iloc[0], int(pdf["node"].iloc[0])
+        flight = Flight(_random(seed, node, k, round_no))
         rows: list[tuple] = []
         for item, size, whole, p in zip(pdf["item_id"], pdf["size"], pdf["whole"], pdf["p"]):
             rows += [(node, k, i, s, w, x, None) for (i, w), s, x in flight.add((item, whole), p, size)]
         rows += [(node, k, i, s, w, x, None) for (i, w), s, x in flight.finish()]
         left = flight.left()
         if land and left:
-            want = sum(p * s for _, p, s in left)
-            choices = [[(n >> j) & 1 for j in range(len(left))] for n in range(1 << len(left))]
-            best = min(choices, key=lambda c: (abs(sum(x * h[2] for x, h in zip(c, left)) - want), sum(c)))
-            rows += [(node, k, h[0][0], h[2], h[0][1], x, None) for h, x in zip(left, best)]
+            rows += [(node, k, h[0][0], h[2], h[0][1], x, None) for h, x in zip(left, landed(left))]
         else:
             rows += [(node, k, i, s, w, None, p) for (i, w), p, s in left]
-        return pd.DataFrame(rows, columns=["node", "source_no", "item_id", "size", "whole", "picked", "p"])
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
     return decide
 
 
-def plan(totals: dict[str, tuple[int, int]], targets: list[tuple[str, str, float, int]]) -> list[dict]:
-    """What each target gets: key, source, goal, held, n_items, ratio, outcome (``sample``, ``repeat`` or ``short``).
+def plan(totals: DataFrame, targets: DataFrame) -> DataFrame:
+    """(key, source, target_share, goal, held, n_items, outcome, whole, p) of each target: ``outcome`` is ``sample``, ``repeat`` or ``short``,
+    each item is used ``whole`` times and once more with probability ``p``.
 
-    ``totals`` has tokens and items by key; ``targets`` are (key, source, weight, max_repeats).
+    ``totals`` has (key, held, n_items), ``targets`` (source, weight, max_repeats).
     """
-    weights = sum(max(t[2] or 0.0, 0.0) for t in targets)
-    everything = sum(totals.get(t[0], (0, 0))[0] for t in targets)
-    out = []
-    for key, source, weight, repeats in targets:
-        held, n = totals.get(key, (0, 0))
-        most = max(int(repeats if repeats is not None else 1), 0)
-        goal = max(weight or 0.0, 0.0) / weights * everything if weights else 0.0
-        outcome = "sample" if goal <= held else "repeat" if goal <= most * held else "short"
-        ratio = (goal / held if held else 0.0) if outcome != "short" else float(most)
-        out.append({"key": key, "source": source, "goal": goal, "held": held, "n_items": n, "ratio": min(ratio, float(most)), "outcome": outcome, "target_share": goal / everything if everything else 0.0})
-    return out
+    weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))
+    most = F.greatest(F.coalesce(F.col("max_repeats").cast("int"), F.lit(1)), F.lit(0))
+    listed = targets.select(source_key(F.col("source")).alias("key"), "source", weight.alias("weight"), most.alias("most")).filter("key is not null")
+    spelt = listed.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    twice = F.when(F.col("times") > 1, F.raise_error(F.concat(F.lit("targets that spell one source alike: "), "key")).cast("string")).otherwise(F.col("key"))
+    single = listed.join(spelt, "key").withColumn("key", twice).drop("times")
+    joined = single.join(totals, "key", "left").fillna(0, ["held", "n_items"])
+    sums = joined.agg(F.sum("weight").alias("weights"), F.sum("held").alias("everything"))
+    share = F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(F.lit(0.0))
+    goals = joined.withColumns({"weights": sums.select("weights").scalar(), "everything": sums.select("everything").scalar()}).withColumn("target_share", share).withColumn("goal", F.col("target_share") * F.col("everything"))
+    outcome = F.when(F.col("goal") <= F.col("held"), "sample").when(F.col("goal") <= F.col("most") * F.col("held"), "repeat").otherwise("short")
+    ratio = F.when(F.col("outcome") == "short", F.col("most").cast("double")).otherwise(F.least(F.when(F.col("held") > 0, F.col("goal") / F.col("held")).otherwise(F.lit(0.0)), F.col("most").cast("double")))
+    planned = goals.withColumn("outcome", outcome).withColumn("ratio", ratio)
+    return planned.select("key", "source", "target_share", "goal", F.col("held").cast("long").alias("held"), "n_items", "outcome", F.floor("ratio").cast("int").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("p"))
 
 
 def mix(items: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Sample of (item_id, source, size) against (source, weight, max_repeats).
 
     Returns the picks (source, item_id, size, copies), with copies > 0, and the report per target
-    (source, outcome, target_share, goal, held, picked, picked_items, share).
+    (source, outcome, target_share, goal, held, n_items, picked, picked_items, share, share_of_goals).
     """
-    spark = items.sparkSession
-    rows = targets.select(source_key(F.col("source")).alias("key"), "source", F.col("weight").cast("double"), F.col("max_repeats").cast("int")).filter("key is not null").limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    listed = list({r[0]: tuple(r) for r in sorted(map(tuple, rows), key=lambda r: (r[0], r[1]), reverse=True)}.values())
-    numbers = spark.createDataFrame([(t[0], n) for n, t in enumerate(listed)], "key string, source_no int")
-    sized = durable(items.select(F.col("item_id").cast("string").alias("item_id"), source_key(F.col("source")).alias("key"), F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size")).join(F.broadcast(numbers), "key"))
-    totals = {listed[r["source_no"]][0]: (r["tokens"], r["n"]) for r in sized.groupBy("source_no").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
-    planned = plan(totals, listed)
-    chances = spark.createDataFrame([(n, math.floor(x["ratio"]), x["ratio"] - math.floor(x["ratio"])) for n, x in enumerate(planned)], "source_no int, whole int, p double")
     # ids travel as text, because a batch with a null among them would turn the others into floating point
     kind = items.schema["item_id"].dataType
-    schema = "node int, source_no int, item_id string, size bigint, whole int, picked int, p double"
+    sized = durable(items.select(F.col("item_id").cast("string").alias("item_id"), source_key(F.col("source")).alias("key"), F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size")).filter("key is not null"))
+    totals = sized.groupBy("key").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("n_items"))
+    planned = durable(plan(totals, targets))
+    small = checked_broadcast(planned.select("key", "whole", "p"), SENT_TARGETS)
     # large items first: the undecided ones at the end are small, and so is what the landing can miss
-    ordered = sized.join(F.broadcast(chances), "source_no").select("item_id", "source_no", "size", "whole", "p").sortWithinPartitions(F.desc("size"), "item_id")
-    flown = durable(ordered.mapInPandas(_flyer(seed), schema))
+    ordered = sized.join(small, "key").select("item_id", "key", "size", "whole", "p").sortWithinPartitions(F.desc("size"), "item_id")
+    flown = durable(ordered.mapInPandas(_flyer(seed), _SCHEMA))
     decided, undecided = flown.filter("picked is not null"), flown.filter("picked is null")
     partitions, round_no = max(1, flown.rdd.getNumPartitions()), 0
     while True:
         partitions, round_no = -(-partitions // FAN_IN), round_no + 1
         nodes = undecided.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("int"))
-        met = durable(nodes.groupBy("node", "source_no").applyInPandas(_decider(seed, round_no, partitions == 1), schema))
+        met = durable(nodes.groupBy("node", "key").applyInPandas(_decider(seed, round_no, partitions == 1), _SCHEMA))
         decided = decided.unionByName(met.filter("picked is not null"))
         if partitions == 1:
             break
         undecided = met.filter("picked is null")
-    label = spark.createDataFrame([(n, x["source"], x["outcome"], x["target_share"], x["goal"], x["held"]) for n, x in enumerate(planned)], "source_no int, source string, outcome string, target_share double, goal double, held bigint")
     used = decided.withColumn("copies", F.col("whole") + F.col("picked")).filter("copies > 0")
-    picks = used.join(F.broadcast(label.select("source_no", "source")), "source_no").select("source", F.col("item_id").cast(kind).alias("item_id"), "size", "copies")
-    sums = used.groupBy("source_no").agg(F.sum(F.col("size") * F.col("copies")).alias("picked"), F.sum(F.col("copies").cast("long")).alias("picked_items"))
+    picks = used.join(checked_broadcast(planned.select("key", "source"), SENT_TARGETS), "key").select("source", F.col("item_id").cast(kind).alias("item_id"), "size", "copies")
+    sums = used.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("picked"), F.sum(F.col("copies").cast("long")).alias("picked_items"))
     whole = sums.agg(F.sum("picked")).scalar()
-    report = label.join(sums, "source_no", "left").select("source", "outcome", "target_share", "goal", "held", F.coalesce("picked", F.lit(0)).alias("picked"), F.coalesce("picked_items", F.lit(0)).alias("picked_items"), F.coalesce(F.col("picked") / whole, F.lit(0.0)).alias("share"))
+    goals = planned.agg(F.sum("goal")).scalar()
+    rows = planned.join(sums, "key", "left").fillna(0, ["picked", "picked_items"])
+    report = rows.select("source", "outcome", "target_share", "goal", "held", "n_items", "picked", "picked_items", F.coalesce(F.try_divide("picked", whole), F.lit(0.0)).alias("share"), F.coalesce(F.try_divide("picked", goals), F.lit(0.0)).alias("share_of_goals"))
     return picks, report

@@ -1,6 +1,7 @@
 """Filling containers of fixed capacity with whole items, by bounded-space online packing.
 
-Each partition keeps a fixed number of open windows. An item goes into the
+Each partition keeps a fixed number of open windows. ``BLOCK`` items at a time
+are taken from the scan and placed from the largest, each into the
 window it leaves the least space in; if it fits none, the fullest window is
 emitted and a new one takes its place. What is open at the end of a partition
 are leftovers: whole containers, at most ``OPEN_WINDOWS`` of them per
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from ..plans.durable import durable
 
 OPEN_WINDOWS = 64
+#: Items that are put in order of size before they are placed.
+BLOCK = 256
 FAN_IN = 32
 
 
@@ -58,18 +61,28 @@ def _placer(capacity: int):
         # partition and order follow the scan, so that a lost task gives the same rows when it runs again
         part = TaskContext.get().partitionId()
         windows, split = Windows(capacity, OPEN_WINDOWS), 0
+        waiting: list[tuple] = []
+
+        def settled() -> list[tuple]:
+            rows = []
+            for rest, item, full in sorted(waiting, key=lambda x: -x[0]):
+                window, _ = windows.place(rest)
+                rows.append((f"{part}/{window}", item, full, full + 1, full * capacity, rest))
+            waiting.clear()
+            return rows
+
         for pdf in batches:
             rows: list[tuple] = []
             for item, size in zip(pdf["item_id"], pdf["size"]):
                 full = (size - 1) // capacity if size > capacity else 0
-                pieces = full + 1
                 for k in range(full):
-                    rows.append((f"{part}/s{split}", item, k, pieces, k * capacity, capacity))
+                    rows.append((f"{part}/s{split}", item, k, full + 1, k * capacity, capacity))
                     split += 1
-                rest = size - full * capacity
-                window, _ = windows.place(rest)
-                rows.append((f"{part}/{window}", item, full, pieces, full * capacity, rest))
+                waiting.append((size - full * capacity, item, full))
+                if len(waiting) == BLOCK:
+                    rows += settled()
             yield pd.DataFrame(rows, columns=["local_id", "item_id", "piece", "pieces", "first", "size"])
+        yield pd.DataFrame(settled(), columns=["local_id", "item_id", "piece", "pieces", "first", "size"])
         # what each open window holds, as rows without an item
         yield pd.DataFrame([(f"{part}/{window}", None, -1, 0, 0, capacity - space) for space, window in windows.free], columns=["local_id", "item_id", "piece", "pieces", "first", "size"])
 

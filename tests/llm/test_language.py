@@ -55,9 +55,9 @@ def test_articles_and_passages(spark):
 
 
 def test_label_and_markup_weigh_on_sentences_that_look_clear(spark):
-    """``plus`` is French by 0.98 of its text alone; label and markup together say more than that."""
-    model = language.Model([(lang, text) for _, lang, text in LINES])
-    assert model.langs[model.vector("plus").argmax()] == "fr" and language.posterior(model.vector("plus")).max() > 0.98
+    """``plus`` is French by its text alone, also at the calibrated temperature; label and markup together say more than that."""
+    model = language.fitted([(lang, text) for _, lang, text in LINES])
+    assert model.langs[model.vector("plus").argmax()] == "fr" and language.posterior(model.vector("plus")).max() > 0.8
     markup = "\\usepackage[german]{babel}\\begin{document}\n\n"
     out, found = identify(spark, [(1, f"{markup}Plus.", "de", None, None, None), (2, "Plus.", None, None, None, None), (3, f"{markup}{FR}", "de", None, None, None)])
     assert out[1]["main"] == "de" and out[1]["lang"] == ["de"] and found == [(2, -1, "fr"), (3, -1, "fr")]
@@ -88,3 +88,48 @@ def test_held_out_accuracy(spark):
     for r in docs:
         right += model.langs[int(scorer.sentences([blocks(r["text"])])[3].sum(axis=0).argmax())] == r["code"]
     assert len(docs) > 500 and right >= 0.9 * len(docs)
+
+
+def test_no_language_crowds_out_another(spark):
+    """More lines of one language than the bound: all languages stay, in any order of codes and texts."""
+    many = [(i, "de", f"Das Haus Nummer {i} steht am Ende der langen Straße.") for i in range(3 * language.LINES_PER_LANGUAGE)] + [x for x in LINES if x[1] in ("ru", "uk", "fr")]
+    model = language.train(spark.createDataFrame(many, "item_id bigint, lang string, text string"), spark.createDataFrame([], SCHEMA))
+    assert model.langs == ["de", "fr", "ru", "uk"]
+
+
+def test_repeated_ids_are_not_cut(spark):
+    docs = [(1, DE, "de", "s", "v", "f", "x", 1, "y")] * 5 + [(i, EN, "en", "s", "v", "f", "x", 1, "y") for i in range(2, 9)]
+    assert language.train(lines(spark), spark.createDataFrame(docs, SCHEMA)).langs == ["de", "en", "fr", "ru", "uk"]
+
+
+def test_host_prior_decides_where_the_text_does_not(spark):
+    """An unlabelled word that two languages share takes the language of its venue; without the prior both venues' articles read alike."""
+    model = language.fitted([(lang, text) for _, lang, text in LINES])
+    docs = [(i, "$x$", "de" if i < 200 else "fr", "s", "a" if i < 200 else "b", None, "x", 1, "y") for i in range(400)]
+    priors = language.host_priors(spark.createDataFrame(docs, SCHEMA), model.langs)
+    word = next(w for w in ("tante", "est", "des", "plus", "rue", "le", "train") if 0.02 < language.posterior(model.vector(w))[model.langs.index("de")] < 0.98)
+    row = [(k, "s", v, None, None, None, [0], [len(word)], [float(x) for x in model.vector(word)]) for k, v in enumerate("ab")]
+    evidence = spark.createDataFrame(row, language.EVIDENCE_SCHEMA.format(id="bigint"))
+
+    def mains(p):
+        out = language.with_priors(evidence, p).mapInArrow(language._fused(model.langs), language.RESULT_SCHEMA.format(id="bigint"))
+        return {r["doc_id"]: r["main"] for r in out.collect()}
+
+    flat = priors.withColumn("prior", F.array(*(F.lit(1.0 / len(model.langs)) for _ in model.langs)))
+    assert mains(priors) == {0: "de", 1: "fr"} and len(set(mains(flat).values())) == 1
+
+
+def test_priors_joined_by_shuffle_are_the_same(spark):
+    docs = [(i, "t", "fr" if i % 3 else "en", "s", "hot" if i % 2 else f"v{i}", "f", "x", 1, "y") for i in range(300)]
+    df = spark.createDataFrame(docs, SCHEMA).withColumn("source_key", F.lit("s"))
+    priors = language.host_priors(df, ["en", "fr"])
+    few, many = language.with_priors(df.drop("prior"), priors), language.with_priors(df.drop("prior"), priors, sent=0)
+    assert sorted(map(tuple, few.select("doc_id", "prior").collect())) == sorted(map(tuple, many.select("doc_id", "prior").collect()))
+
+
+def test_temperature_is_below_one_where_pieces_mislead():
+    rng = __import__("random").Random(5)
+    words = {"a": [f"ka{x}n" for x in "aeiou"], "b": [f"ka{x}m" for x in "aeiou"]}
+    texts = [(lang, " ".join(rng.choice(words[lang] if rng.random() < 0.7 else words["ab".replace(lang, "")]) for _ in range(6))) for lang in "ab" for _ in range(60)]
+    model = language.fitted(texts)
+    assert abs(model.vector("kaan") - model.vector("kaam")).max() < 3

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from chainloom.llm import mixing
 
@@ -63,6 +64,33 @@ def test_same_sample_on_every_run_and_nulls(spark):
     assert one == two
 
 
+def test_one_item_that_outweighs_the_others(spark):
+    """Every goal that isn't short is met within one median item, whatever the seed."""
+    rng = random.Random(2)
+    items = [(i, "small", rng.randrange(300, 900)) for i in range(98)] + [(99, "small", 4375)] + [(1000 + i, "large", rng.randrange(300, 900)) for i in range(900)]
+    a = spark.createDataFrame([(*x, "k", 0.5) for x in items], SCHEMA).repartition(3)
+    t = spark.createDataFrame([("small", 0.14, 3, "k"), ("large", 0.86, 3, "k")], TARGETS)
+    for seed in range(5):
+        for r in mixing.mix(a, t, seed)[1].collect():
+            assert r["outcome"] != "short" and abs(r["picked"] - r["goal"]) < 600
+            assert abs(r["share_of_goals"] - r["target_share"]) < 0.002
+
+
+def test_targets_that_spell_one_source_alike_are_refused(spark):
+    with pytest.raises(Exception, match="spell one source alike: a_b"):
+        run(spark, [(1, "a b", 3)], [("A-b", 1.0, 1), ("a_B", 2.0, 1)])
+
+
+def test_more_targets_than_are_sent(spark, monkeypatch):
+    items = [(i, f"s{i % 7}", 10 + i % 13) for i in range(700)]
+    targets = [(f"s{k}", 1.0 + k, 3) for k in range(7)]
+    sent = run(spark, items, targets)[1]
+    monkeypatch.setattr(mixing, "SENT_TARGETS", 2)
+    joined = run(spark, items, targets)[1]
+    assert {k: (r["outcome"], r["goal"]) for k, r in sent.items()} == {k: (r["outcome"], r["goal"]) for k, r in joined.items()}
+    assert all(abs(r["picked"] - r["goal"]) < 20 for r in joined.values() if r["outcome"] != "short")
+
+
 def test_empty_tables(spark):
     picks, report = run(spark, [], [("a", 1.0, 2)])
     assert picks == [] and report["a"]["picked"] == 0

@@ -45,3 +45,25 @@ def test_bins_follow_the_scores(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     bins = [r[0] for r in df.orderBy("v").select(topn.score_bin(F.col("v"))).collect()]
     assert bins == sorted(bins)
+
+
+def test_rows_are_pruned_before_they_are_shuffled_by_group(spark):
+    """The threshold is joined by broadcast and a partial limit stands before the exchange by group."""
+    df = spark.range(10_000).selectExpr("if(id % 3 > 0, 'hot', concat('g', id % 500)) as g", "cast(id % 97 as double) as v", "id as a")
+    out = topn.top_n(df, ["g"], "v", ["a"], 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final, partial = plan.index("row_number(), 5, Final"), plan.index("row_number(), 5, Partial")
+    assert final < plan.index("Exchange hashpartitioning", final) < partial < plan.index("BroadcastHashJoin", partial)
+
+
+def test_thresholds_and_ranking_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else f"g{i % 40}", float(rng.randrange(30)), i, i % 7) for i in range(3000)]
+    monkeypatch.setattr(topn, "THRESHOLDS", 4)
+    want = brute(rows, 20)
+    assert got(spark, rows, 20) == want
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", 10)
+    try:
+        assert got(spark, rows, 20) == want
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
