@@ -31,3 +31,11 @@ def normalize_chromosome(c: Column) -> Column:
 def sequence_key(c: Column) -> Column:
     """Normalised sequence name of a trimmed ``seqid``; null where it is null or blank."""
     return F.nullif(normalize_chromosome(trimmed(c)), F.lit(""))
+
+
+def normalize_name(name: str) -> str:
+    """``sequence_key`` of one name on the driver."""
+    bare = name.strip(BLANKS)
+    if bare.startswith("chr"):
+        return bare
+    return "chrM" if bare == "MT" else f"chr{bare}" if bare in ("X", "Y", "M") or (bare.isascii() and bare.isdigit()) else bare

@@ -1,8 +1,9 @@
 """Absorption of truncated structures into longer ones, and the pair relations behind it.
 
 The outcome depends on the order in which structures arrive, so the order is
-fixed: annotation samples first, then by manifest order, exon count descending
-within a gene, first line. Only structures whose spans overlap or touch can
+fixed: annotation samples first, then by manifest order, gene blocks in the order
+of their file (by gene where no lines are known), exon count descending
+within a block, first line. Only structures whose spans overlap or touch can
 meet, so the fold runs per locus. What repeats exactly never decides anything
 of its own: repeated structures are merged with partial aggregation before the
 fold, follow the outcome of their first arrival, and bring their samples along.
@@ -16,15 +17,16 @@ structure creates it, unless it is a mono-exon of a sample.
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.grouped import fold_groups
 from .overlap import locus_numbers, overlap_join
+from .spans import CountedSpans, Spans
 
 # Fixed values of the rules.
 TERMINAL_TOLERANCE = 50
@@ -56,10 +58,14 @@ class Segment:
     def start(self) -> int:
         return self.chain[0][0]
 
-    @property
+    @cached_property
     def end(self) -> int:
         return max(e for _, e in self.chain)
 
+    @property
+    def span(self) -> tuple[int, int, int]:
+        return self.start, self.end, self.creation
+
 
 def _close(a: tuple[int, int], b: tuple[int, int], tolerance: int) -> bool:
     return abs(a[0] - b[0]) <= tolerance and abs(a[1] - b[1]) <= tolerance
@@ -115,58 +121,66 @@ def mono_exon_class(exon: tuple[int, int], chains: list[list]) -> str:
 
 
 class Locus:
-    """Structures of one locus in order of arrival, with the indexes that find the few that a new one can relate to."""
+    """Live structures of one locus in order of arrival, with the indexes that find the few that a new one can relate to.
+
+    An absorbed structure leaves all indexes at once, so that they grow with what is alive.
+    """
 
     def __init__(self, options: AbsorbOptions) -> None:
         self.o, self.made = options, 0
         self.width = options.fuzzy_tolerance + 1
-        self.by_introns: dict[tuple, list[Segment]] = {}
-        self.by_exons: dict[tuple[int, int], list[Segment]] = {}
-        self.by_first: dict[tuple[int, int], list[Segment]] = {}
-        # ascending (start, end, creation), of all and of annotated segments
-        self.spans: list[tuple] = []
-        self.annotated: list[tuple] = []
+        # by creation number, within each key
+        self.by_introns: dict[tuple, dict[int, Segment]] = {}
+        self.by_exons: dict[tuple[int, int], dict[int, Segment]] = {}
+        self.by_first: dict[tuple[int, int], dict[int, Segment]] = {}
+        self.live: dict[int, Segment] = {}
+        # spans of all and of annotated segments; exons and introns of multi-exon ones
+        self.spans, self.annotated = Spans(), Spans()
+        self.exons, self.introns = CountedSpans(), CountedSpans()
 
     @staticmethod
     def _introns(chain: list) -> tuple:
         return (chain[0][1], *chain[1:-1], chain[-1][0])
 
-    def _near(self, index: dict[tuple[int, int], list[Segment]], one: tuple, two: tuple) -> dict[int, Segment]:
+    def _near(self, index: dict[tuple[int, int], dict[int, Segment]], one: tuple, two: tuple) -> dict[int, Segment]:
         """Segments indexed under two neighbouring exons whose starts are near those of ``one`` and ``two``."""
         a, b = one[0] // self.width, two[0] // self.width
-        return {id(s): s for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for s in index.get((x, y), ())}
+        found: dict[int, Segment] = {}
+        for x in (a - 1, a, a + 1):
+            for y in (b - 1, b, b + 1):
+                found |= index.get((x, y), {})
+        return found
 
-    def _sorted(self, found: list[Segment], chain: list) -> list[Segment]:
+    def _sorted(self, found: dict[int, Segment], chain: list) -> list[Segment]:
         start, end = chain[0][0], max(e for _, e in chain)
-        return sorted((s for s in found if not s.absorbed and s.start < end and s.end > start), key=lambda s: (s.start, s.end, s.creation))
+        return sorted((s for s in found.values() if s.start < end and s.end > start), key=lambda s: (s.start, s.end, s.creation))
 
-    def _first(self, spans: list[tuple], chain: list) -> Segment | None:
-        start, end = chain[0][0], max(e for _, e in chain)
-        for s0, e0, _, s in spans:
-            if s0 >= end:
-                return None
-            if e0 > start and not s.absorbed:
-                return s
-        return None
+    def _first(self, spans: Spans, chain: list) -> Segment | None:
+        found = spans.overlapping(chain[0][0], max(e for _, e in chain))
+        return self.live[found[2]] if found else None
+
+    def _mono_class(self, exon: tuple[int, int]) -> str:
+        """As ``mono_exon_class`` against all live multi-exon segments."""
+        if self.introns.within(*exon):
+            return "intron_retention"
+        return "gene_overlap" if self.exons.overlapping(*exon) else "intergenic"
 
     def arrive(self, structure: str, chain: list, strand: str, gene: str, strict: bool, loose: bool) -> tuple[str, Segment | None, str]:
         """Decision, the segment that takes the structure (if any) and its gene."""
         several = len(chain) > 1
-        variants = self._sorted(self.by_introns.get(self._introns(chain), []), chain) if several and self.o.absorb else []
+        variants = self._sorted(self.by_introns.get(self._introns(chain), {}), chain) if several and self.o.absorb else []
         for s in variants:
             if is_terminal_variant(chain, s.chain):
                 return self._merged(s, loose, "merged_terminal")
         if not several and not strict:
             if not self.o.absorb:
                 return "dropped_mono_noabsorb", None, gene
-            start, end = chain[0]
-            over = [s.chain for s0, e0, _, s in self.spans if s0 < end and e0 > start and not s.absorbed and len(s.chain) > 1]
-            kind = mono_exon_class(chain[0], over)
+            kind = self._mono_class(chain[0])
             if kind != "intron_retention":
                 return f"dropped_mono_{kind}", None, gene
         if several and self.o.absorb:
             best, how = None, None
-            for s in self._sorted(list(self._near(self.by_exons, chain[0], chain[1]).values()), chain):
+            for s in self._sorted(self._near(self.by_exons, chain[0], chain[1]), chain):
                 kind = relation(chain, s.chain, strand, self.o.fuzzy_tolerance)
                 if kind == "fsm":
                     return self._merged(s, loose, "merged_fuzzy")
@@ -190,57 +204,86 @@ class Locus:
         self._keep(new)
         return "created", new, gene
 
+    def _keys(self, s: Segment) -> Iterator[tuple[dict, tuple]]:
+        yield self.by_introns, self._introns(s.chain)
+        cells = [x // self.width for x, _ in s.chain]
+        yield self.by_first, (cells[0], cells[1])
+        for pair in set(zip(cells, cells[1:])):
+            yield self.by_exons, pair
+
     def _keep(self, new: Segment) -> None:
         self.made += 1
-        span = (new.start, new.end, new.creation, new)
-        insort(self.spans, span, key=lambda x: x[:3])
+        self.live[new.creation] = new
+        self.spans.add(new.span)
         if new.loose:
-            insort(self.annotated, span, key=lambda x: x[:3])
+            self.annotated.add(new.span)
         if len(new.chain) > 1:
-            self.by_introns.setdefault(self._introns(new.chain), []).append(new)
-            cells = [s // self.width for s, _ in new.chain]
-            self.by_first.setdefault((cells[0], cells[1]), []).append(new)
-            for pair in set(zip(cells, cells[1:])):
-                self.by_exons.setdefault(pair, []).append(new)
+            for index, key in self._keys(new):
+                index.setdefault(key, {})[new.creation] = new
+            for exon in new.chain:
+                self.exons.hold(*exon)
+            for a, b in zip(new.chain, new.chain[1:]):
+                self.introns.hold(a[1], b[0])
+
+    def _forget(self, old: Segment, into: Segment | None) -> None:
+        old.absorbed, old.into = True, into
+        del self.live[old.creation]
+        self.spans.remove(old.span)
+        if old.loose:
+            self.annotated.remove(old.span)
+        for index, key in self._keys(old):
+            del index[key][old.creation]
+        for exon in old.chain:
+            self.exons.release(*exon)
+        for a, b in zip(old.chain, old.chain[1:]):
+            self.introns.release(a[1], b[0])
 
     def _merged(self, s: Segment, loose: bool, how: str) -> tuple[str, Segment, str]:
         s.swallowed += 1
         if loose and not s.loose:
             s.loose = True
-            insort(self.annotated, (s.start, s.end, s.creation, s), key=lambda x: x[:3])
+            self.annotated.add(s.span)
         return how, s, s.gene
 
     def _absorb_older(self, new: Segment) -> None:
+        """Called before ``new`` is kept, so that its flags may still change."""
         if len(new.chain) < 2:
             return
-        found = {id(s): s for s in self.by_introns.get(self._introns(new.chain), [])}
+        found = dict(self.by_introns.get(self._introns(new.chain), {}))
         for one, two in zip(new.chain, new.chain[1:]):
             found |= self._near(self.by_first, one, two)
         new_is_annotation = new.loose
-        for old in self._sorted(list(found.values()), new.chain):
+        for old in self._sorted(found, new.chain):
             kind = "fsm" if is_terminal_variant(old.chain, new.chain) else relation(old.chain, new.chain, new.strand, self.o.fuzzy_tolerance)
             if kind in ("fsm", "ism3"):
-                old.absorbed, old.into = True, new
                 new.swallowed += old.swallowed + 1
                 new.loose = new.loose or old.loose
+                self._forget(old, new)
             elif kind in ("degraded", "internal") and new_is_annotation:
-                old.absorbed = True
+                self._forget(old, None)
 
 
 def _folder(options: AbsorbOptions):
     def fold(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
-        """Rows of (seqid, strand, locus_start, structure, gene_id, is_strict, is_loose, arrival) in order of arrival."""
-        locus, out = Locus(options), []
+        """Rows of (seqid, strand, locus_start, structure, gene_id, is_strict, is_loose, arrival) in order of arrival.
+
+        Dropped structures leave at once; the others wait for the end of the locus, as their target may yet be absorbed.
+        """
+        locus, waiting = Locus(options), []
         for _, strand, _, structure, gene, strict, loose, _ in rows:
             chain = [tuple(map(int, x.split("-"))) for x in structure.rsplit(":", 1)[1].split(",")]
-            out.append((structure, *locus.arrive(structure, chain, strand, gene, bool(strict), bool(loose))))
-        for structure, decision, target, gene in out:
+            decision, target, gene = locus.arrive(structure, chain, strand, gene, bool(strict), bool(loose))
+            if target is None:
+                yield structure, decision, None, gene, False, None, 0, -1
+            else:
+                waiting.append((structure, decision, target))
+        for structure, decision, target in waiting:
             end = target
-            while end is not None and end.into is not None:
+            while end.into is not None:
                 end = end.into
             own = target if decision == "created" else None
             yield (
-                structure, decision, end.structure if end is not None and not end.absorbed else None, end.gene if end is not None else gene,
+                structure, decision, None if end.absorbed else end.structure, end.gene,
                 bool(own and own.absorbed), own.into.structure if own and own.into else None, own.swallowed if own else 0, own.creation if own else -1,
             )
 
@@ -248,10 +291,18 @@ def _folder(options: AbsorbOptions):
 
 
 def arrivals(transcripts: DataFrame, samples: DataFrame) -> DataFrame:
-    """Distinct structures with the flags of their first arrival: (structure, seqid, strand, start_pos, end_pos, n_exons, gene_id, is_strict, is_loose, arrival)."""
+    """Distinct structures with the flags of their first arrival: (structure, seqid, strand, start_pos, end_pos, n_exons, gene_id, is_strict, is_loose, arrival).
+
+    ``transcripts`` may have ``block_line`` and ``line_no``, the first lines of the gene's block and of the transcript in the
+    file of its sample; samples are numbered in the order of their files.
+    """
     flags = samples.select("sample_id", "is_annotation", "is_annotation_loose")
-    t = transcripts.join(flags, "sample_id", "left").fillna(False, ["is_annotation", "is_annotation_loose"])
-    order = F.struct((~F.col("is_annotation_loose")).alias("sampled"), F.coalesce("sample_id", F.lit(2**31 - 1)).alias("file"), "gene_id", (-F.col("n_exons")).alias("fewer"), "transcript_id")
+    lines = {c: F.lit(0).cast("long") for c in ("block_line", "line_no") if c not in transcripts.columns}
+    t = transcripts.withColumns(lines).join(flags, "sample_id", "left").fillna(False, ["is_annotation", "is_annotation_loose"])
+    order = F.struct(
+        (~F.col("is_annotation_loose")).alias("sampled"), F.coalesce("sample_id", F.lit(2**31 - 1)).alias("file"), F.coalesce("block_line", F.lit(0)).cast("long").alias("block"), F.when(F.coalesce("block_line", F.lit(0)) == 0, F.col("gene_id")).otherwise("").alias("gene"),
+        (-F.col("n_exons")).alias("fewer"), F.coalesce("line_no", F.lit(0)).cast("long").alias("line"), "transcript_id",
+    )
     first = F.min_by(F.struct("gene_id", "is_annotation", "is_annotation_loose"), order).alias("f")
     rows = t.groupBy("structure", "seqid", "strand", "start_pos", "end_pos", "n_exons").agg(first, F.min(order).alias("arrival"), F.bool_or("is_annotation_loose").alias("is_loose"))
     return rows.select("structure", "seqid", "strand", "start_pos", "end_pos", "n_exons", F.col("f.gene_id").alias("gene_id"), F.col("f.is_annotation").alias("is_strict"), "is_loose", "arrival")
@@ -262,7 +313,11 @@ def decide(transcripts: DataFrame, samples: DataFrame, options: AbsorbOptions =
     found = arrivals(transcripts, samples)
     located = locus_numbers(found, ["seqid", "strand"], "start_pos", "end_pos")
     a = F.col("arrival")
-    text = F.concat_ws("\t", F.when(a["sampled"], "1").otherwise("0"), F.lpad(a["file"].cast("string"), 11, "0"), a["gene_id"], F.lpad((F.lit(10**6) + a["fewer"]).cast("string"), 8, "0"), a["transcript_id"])
+
+    def padded(c: Column, n: int) -> Column:
+        return F.lpad(c.cast("string"), n, "0")
+
+    text = F.concat_ws("\t", F.when(a["sampled"], "1").otherwise("0"), padded(a["file"], 11), padded(a["block"], 12), a["gene"], padded(F.lit(10**6) + a["fewer"], 8), padded(a["line"], 12), a["transcript_id"])
     rows = located.select("seqid", "strand", "locus_start", "structure", "gene_id", "is_strict", "is_loose", text.alias("arrival"))
     return fold_groups(rows, ["seqid", "strand", "locus_start"], ["arrival", "structure"], _folder(options), DECISIONS)
 
@@ -275,10 +330,24 @@ def transcript_decisions(transcripts: DataFrame, decided: DataFrame) -> DataFram
     return rows.withColumn("decision", F.when(repeat, "merged_exact").otherwise(F.col("decision"))).select("transcript_id", "structure", "sample_id", "decision", "target", "gene_id")
 
 
-def counters(decisions: DataFrame) -> DataFrame:
-    """(outcome, n): created, merged and dropped transcripts, by the outcome of their structure's arrival."""
-    outcome = F.regexp_extract("decision", "^[a-z]+", 0)
-    return decisions.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+#: What a build counts.
+OUTCOMES = ("input", "merged", "absorbed", "discarded", "scaffold")
+
+
+def counters(decisions: DataFrame, decided: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(outcome, n) for each of ``OUTCOMES``: transcripts that came in, were merged into a structure that was there, or dropped;
+    structures that a later one absorbed; transcripts of scaffolds.
+
+    ``before`` has (outcome, n) of what was dropped before the fold; of these, ``discarded`` ones count as input too.
+    """
+    spark = decisions.sparkSession
+    merged, dropped = F.col("decision").startswith("merged"), F.col("decision").startswith("dropped")
+    fold = decisions.agg(F.count(F.lit(1)).alias("input"), F.count_if(merged).alias("merged"), F.count_if(dropped).alias("discarded"))
+    parts = fold.unpivot([], ["input", "merged", "discarded"], "outcome", "n").unionByName(decided.agg(F.count_if("absorbed").alias("n")).select(F.lit("absorbed").alias("outcome"), "n"))
+    if before is not None:
+        parts = parts.unionByName(before.select("outcome", "n")).unionByName(before.filter("outcome = 'discarded'").select(F.lit("input").alias("outcome"), "n"))
+    every = spark.createDataFrame([(x, 0) for x in OUTCOMES], "outcome string, n bigint")
+    return parts.unionByName(every).groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 def live_segments(decided: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -288,6 +357,14 @@ def live_segments(decided: DataFrame, transcripts: DataFrame) -> DataFrame:
     return counts.join(decided.filter("not absorbed").select("structure", "gene_id"), "structure")
 
 
+def tombstones(decided: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(structure, segment_id, seqid, strand, start_pos, end_pos, n_exons, gene_id, absorbed_into): structures that were created and then absorbed;
+    ``absorbed_into`` is the live structure that has their transcripts in the end, null where none has."""
+    gone = decided.filter("absorbed").select("structure", "gene_id", F.col("target").alias("absorbed_into"))
+    shape = transcripts.groupBy("structure", "seqid", "strand", "start_pos", "end_pos", "n_exons").agg(F.min("transcript_id").alias("segment_id"), F.min("chain").alias("chain"))
+    return gone.join(shape, "structure")
+
+
 # --- pair relations ------------------------------------------------------------------------------------------------
 
 

@@ -29,12 +29,12 @@ def _text(junctions: str):
 
 def _sweeper(tolerance: int):
     def sweep(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
-        """Rows of (seqid, strand, n_junctions, locus_start, anchor, first_start, shape), sorted by the last three.
+        """Rows of (place, strand, n_junctions, locus_start, anchor, first_start, shape), sorted by the last three.
 
         Holds the seeds within the tolerance of the present anchor only: a seed behind it can take no more reads.
         """
         seeds: deque[tuple[int, list, str]] = deque()
-        for seqid, strand, _, _, anchor, _, shape in rows:
+        for place, strand, _, _, anchor, _, shape in rows:
             while seeds and anchor > seeds[0][0] + tolerance:
                 seeds.popleft()
             js = [tuple(map(int, j.split("-"))) for j in shape.split(",")]
@@ -44,7 +44,7 @@ def _sweeper(tolerance: int):
             else:
                 seeds.append((anchor, js, shape))
                 name = shape
-            yield seqid, strand, shape, name
+            yield place, strand, shape, name
 
     return sweep
 
@@ -52,35 +52,41 @@ def _sweeper(tolerance: int):
 def _start_sweeper(distance: int):
     def sweep(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
         seed = None
-        for seqid, strand, _, anchor in rows:
+        for place, strand, _, anchor in rows:
             if seed is None or anchor - seed > distance:
                 seed = anchor
-            yield seqid, strand, anchor, str(seed)
+            yield place, strand, anchor, str(seed)
 
     return sweep
 
 
-def cluster(reads: DataFrame, junction_tolerance: int = 5, single_exon_distance: int = 100) -> DataFrame:
-    """``reads`` (read_id, seqid, strand, start_pos, end_pos, junctions, ...) with ``cluster_key``, the seed's key."""
+def cluster(reads: DataFrame, junction_tolerance: int = 5, single_exon_distance: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+    """``reads`` (read_id, seqid, strand, start_pos, end_pos, junctions, ...) with ``cluster_key``, the seed's key.
+
+    Reads that differ in a column of ``by`` (the sample, say) never share a cluster; all are clustered at once.
+    """
     marked = reads.withColumn("n_junctions", F.size("junctions")).withColumn("shape", _text("junctions"))
-    group = ["seqid", "strand", "n_junctions"]
+    # one text for all that keeps reads apart, so that the sweeps needn't know about it
+    apart = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by), "seqid")
+    marked = marked.withColumn("place", apart)
+    group = ["place", "strand", "n_junctions"]
     multi = marked.filter("n_junctions > 0").groupBy(*group, "shape").agg(F.min(F.col("junctions")[0]["donor"]).alias("anchor"), F.min("start_pos").alias("first_start"))
     # runs of first donors without a step beyond the tolerance
     runs = locus_numbers(multi.withColumn("reach", F.col("anchor") + junction_tolerance), group, "anchor", "reach")
     ordered = runs.select(*group, "locus_start", "anchor", "first_start", "shape")
-    swept = fold_groups(ordered, [*group, "locus_start"], ["anchor", "first_start", "shape"], _sweeper(junction_tolerance), "seqid string, strand string, shape string, seed string")
-    with_seed = marked.filter("n_junctions > 0").join(swept, ["seqid", "strand", "shape"])
-    single = marked.filter("n_junctions = 0").select("seqid", "strand", F.col("start_pos").alias("anchor")).distinct()
-    single_runs = locus_numbers(single.withColumn("reach", F.col("anchor") + single_exon_distance), ["seqid", "strand"], "anchor", "reach")
-    alone = fold_groups(single_runs.select("seqid", "strand", "locus_start", "anchor"), ["seqid", "strand", "locus_start"], ["anchor"], _start_sweeper(single_exon_distance), "seqid string, strand string, anchor bigint, seed string")
-    without = marked.filter("n_junctions = 0").join(alone, [marked["seqid"] == alone["seqid"], marked["strand"] == alone["strand"], marked["start_pos"] == alone["anchor"]]).select(*(marked[c] for c in marked.columns), "seed")
-    both = with_seed.select(*marked.columns, "seed").unionByName(without)
-    return both.withColumn("cluster_key", F.concat_ws("|", "seqid", "strand", "n_junctions", "seed")).drop("seed", "shape")
-
-
-def bounds(clustered: DataFrame) -> DataFrame:
-    """(cluster_key, cluster_id, seqid, strand, n_junctions, start_pos, end_pos, n_reads)."""
-    b = clustered.groupBy("cluster_key", "seqid", "strand", "n_junctions").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_reads"))
+    swept = fold_groups(ordered, [*group, "locus_start"], ["anchor", "first_start", "shape"], _sweeper(junction_tolerance), "place string, strand string, shape string, seed string")
+    with_seed = marked.filter("n_junctions > 0").join(swept, ["place", "strand", "shape"])
+    single = marked.filter("n_junctions = 0").select("place", "strand", F.col("start_pos").alias("anchor")).distinct()
+    single_runs = locus_numbers(single.withColumn("reach", F.col("anchor") + single_exon_distance), ["place", "strand"], "anchor", "reach")
+    alone = fold_groups(single_runs.select("place", "strand", "locus_start", "anchor"), ["place", "strand", "locus_start"], ["anchor"], _start_sweeper(single_exon_distance), "place string, strand string, start_pos bigint, seed string")
+    without = marked.filter("n_junctions = 0").join(alone, ["place", "strand", "start_pos"])
+    both = with_seed.select(*marked.columns, "seed").unionByName(without.select(*marked.columns, "seed"))
+    return both.withColumn("cluster_key", F.concat_ws("|", F.translate("place", "\t", "|"), "strand", "n_junctions", "seed")).drop("seed", "shape", "place")
+
+
+def bounds(clustered: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(cluster_key, cluster_id, seqid, strand, n_junctions, start_pos, end_pos, n_reads) and the columns of ``by``."""
+    b = clustered.groupBy("cluster_key", *by, "seqid", "strand", "n_junctions").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_reads"))
     return b.withColumn("cluster_id", F.format_string("%s_%s_%d_%d_n%d", "seqid", "strand", "start_pos", "end_pos", "n_reads"))
 
 
@@ -106,7 +112,7 @@ def statistics(clusters: DataFrame) -> DataFrame:
     )
 
 
-def as_transcripts(clustered: DataFrame, min_counts: int = 0) -> DataFrame:
-    """Multi-exon clusters as structures: (transcript_id, seqid, strand, start_pos, end_pos, chain, value)."""
-    b = bounds(clustered).filter((F.col("n_junctions") > 0) & (F.col("n_reads") >= min_counts)).join(consensus(clustered), "cluster_key")
-    return b.select(F.col("cluster_id").alias("transcript_id"), "seqid", "strand", "start_pos", "end_pos", exons_of_junctions(F.col("start_pos"), F.col("end_pos"), F.col("junctions")).alias("chain"), F.col("n_reads").cast("double").alias("value"))
+def as_transcripts(clustered: DataFrame, min_counts: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Multi-exon clusters as structures: (transcript_id, seqid, strand, start_pos, end_pos, chain, value) and the columns of ``by``."""
+    b = bounds(clustered, by).filter((F.col("n_junctions") > 0) & (F.col("n_reads") >= min_counts)).join(consensus(clustered), "cluster_key")
+    return b.select(F.col("cluster_id").alias("transcript_id"), *by, "seqid", "strand", "start_pos", "end_pos", exons_of_junctions(F.col("start_pos"), F.col("end_pos"), F.col("junctions")).alias("chain"), F.col("n_reads").cast("double").alias("value"))

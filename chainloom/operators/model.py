@@ -52,10 +52,12 @@ def with_chains(transcripts: DataFrame, exons: DataFrame) -> DataFrame:
 
 
 def segments_of(transcripts: DataFrame) -> DataFrame:
-    """Exact structures: (segment_id, seqid, strand, start_pos, end_pos, n_exons, gene_id, gene_name, n_transcripts, chain)."""
+    """Exact structures, named after the smallest transcript that has the structure itself: (segment_id, seqid, strand, start_pos, end_pos, n_exons, gene_id, gene_name, n_transcripts, chain)."""
     keys = ["structure", "seqid", "strand", "start_pos", "end_pos", "n_exons"]
+    # transcripts that only joined a segment do not name it, so that a segment keeps its id whatever it takes in
+    named = F.coalesce(F.min(F.when(F.col("is_own"), F.col("transcript_id"))), F.min("transcript_id")) if "is_own" in transcripts.columns else F.min("transcript_id")
     return transcripts.groupBy(*keys).agg(
-        F.min("transcript_id").alias("segment_id"), F.min("gene_id").alias("gene_id"), F.min("gene_name").alias("gene_name"), F.count(F.lit(1)).alias("n_transcripts"), F.min("chain").alias("chain")
+        named.alias("segment_id"), F.min("gene_id").alias("gene_id"), F.min("gene_name").alias("gene_name"), F.count(F.lit(1)).alias("n_transcripts"), F.min("chain").alias("chain")
     )
 
 
@@ -68,6 +70,11 @@ class Structures:
     genes: DataFrame
     records: DataFrame | None = None
 
+    def with_tables(self, **known: DataFrame | None) -> Structures:
+        """The same with stored tables in place of those that would be derived."""
+        self.__dict__.update({name: df for name, df in known.items() if df is not None})
+        return self
+
     @cached_property
     def segments(self) -> DataFrame:
         return segments_of(self.transcripts)

@@ -7,25 +7,24 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import durable
 
-#: Doublings after which any chain of up to 2^20 steps is closed.
-MAX_ROUNDS = 20
-
 
 def closure(remap: DataFrame) -> DataFrame:
     """(old_id, new_id) with every chain followed to its end, by pointer doubling.
 
-    ``remap`` has one row per old_id. Rounds grow with the logarithm of the longest chain. An id on a cycle
-    or one that maps to itself keeps its place.
+    ``remap`` has one row per old_id. Rounds grow with the logarithm of the longest chain, whatever its length: no chain
+    without a cycle has more steps than there are rows, so what still moves after that many doublings leads into a cycle.
+    Such an id has no end and keeps its own ``new_id``; one that maps to itself keeps its place and is left out.
     """
-    state = durable(remap.filter("old_id <> new_id").select("old_id", "new_id"))
-    for _ in range(MAX_ROUNDS):
-        step = state.withColumnRenamed("old_id", "mid").withColumnRenamed("new_id", "next")
-        joined = state.join(step, state["new_id"] == step["mid"], "left")
-        after = durable(joined.select("old_id", F.when(F.col("next") == F.col("old_id"), F.col("new_id")).otherwise(F.coalesce("next", "new_id")).alias("new_id"), (F.col("next").isNotNull() & (F.col("next") != F.col("old_id"))).alias("moved")))
+    edges = durable(remap.filter("old_id <> new_id").select("old_id", "new_id"))
+    state = edges
+    for _ in range(edges.count().bit_length() + 1):
+        step = state.select(F.col("old_id").alias("mid"), F.col("new_id").alias("next"))
+        after = durable(state.join(step, state["new_id"] == step["mid"], "left").select("old_id", F.coalesce("next", "new_id").alias("new_id"), F.col("next").isNotNull().alias("moved")))
         state = after.drop("moved")
         if after.filter("moved").isEmpty():
-            break
-    return state
+            return state
+    endless = after.filter("moved").select("old_id").join(edges, "old_id")
+    return after.filter("not moved").drop("moved").unionByName(endless)
 
 
 def merge(quant: DataFrame, remap: DataFrame, dropped: DataFrame) -> DataFrame:

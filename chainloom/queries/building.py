@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import expression_value, junctions, parse_region
 from ..operators import absorb, clusters, model, quant, summary
+from ..plans.durable import durable
 from ..plans.tables import table
 from ..sources import gtf
 from .structure import CORE_SQL
@@ -30,7 +31,8 @@ def absorb_decisions(s: model.Structures) -> DataFrame:
 
 
 def absorb_counters(s: model.Structures) -> DataFrame:
-    return absorb.counters(absorb_decisions(s))
+    decided = durable(_decided(s))
+    return absorb.counters(absorb.transcript_decisions(s.transcripts, decided), decided)
 
 
 def absorb_segments(s: model.Structures) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import located
+
 # Fixed values of the format.
 _OPERATIONS, _FIXED = "MIDNSHP=X", struct.Struct("<iiBBHHHiiii")
 BATCH = 5_000
@@ -48,8 +50,8 @@ def read_lines(spark: SparkSession, paths: list[str], records: bool = True) -> D
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path in pdf["path"]:
-                name, rows = path.rsplit("/", 1)[-1], []
+            for path, name in zip(pdf["path"], pdf["name"]):
+                rows = []
                 for n, line in enumerate(_lines(path, records), 1):
                     rows.append((name, n, line))
                     if len(rows) >= BATCH:
@@ -57,5 +59,5 @@ def read_lines(spark: SparkSession, paths: list[str], records: bool = True) -> D
                         rows = []
                 yield pd.DataFrame(rows, columns=["file_name", "line_no", "line"])
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    files = spark.createDataFrame(list(located(spark, paths).items()), "path string, name string").repartition(max(1, len(paths)))
     return files.mapInPandas(decode, "file_name string, line_no int, line string")

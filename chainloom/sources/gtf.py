@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import LOCAL
+
 #: name and value of one attribute, quoted or bare
 _PAIR = r'([^\s";=]+)[\s=]+("[^"]*"|[^\s;"]+)'
 
+#: Lines of a file that one task puts in order, as a power of two.
+SLICE_BITS = 17
+
+# The columns of a sample that the header of its exported lines names, where they are known.
+HEADER_COLUMNS = ("description", "species", "annotation_source", "annotation_version", "assay", "biosample", "platform")
+
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file_name, line_no, line): lines in file order, numbered from 1.
+    """(file_name, line_no, line): lines in file order, numbered from 1; ``file_name`` is the whole path, as ``sources.files.located`` gives it.
 
     The reader gives the lines of a file in order within a split, and splits in order of their offset; numbers are
     made from both without gathering a file in one task: each split counts its lines, and the counts before it are added.
@@ -19,7 +27,25 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     sizes = raw.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = raw.join(before.drop("n"), ["file_path", "block"])
-    return numbered.select(F.regexp_extract("file_path", "([^/]*)$", 1).alias("file_name"), (F.col("at") - F.col("first_at") + F.col("before") + 1).cast("int").alias("line_no"), "line")
+    return numbered.select(F.regexp_replace("file_path", LOCAL, "file:/").alias("file_name"), (F.col("at") - F.col("first_at") + F.col("before") + 1).cast("int").alias("line_no"), "line")
+
+
+def gene_blocks(feats: DataFrame) -> DataFrame:
+    """(file_name, line_no, block_line) of the lines with a gene: the first line of the run of lines of one gene that a line belongs to.
+
+    A gene that appears again later opens another block. Lines are ordered within slices of a file; only one row per slice
+    is ordered over the whole file.
+    """
+    lines = feats.select("file_name", F.col("line_no").cast("long"), attribute("gene_id").alias("gene_id")).filter("gene_id is not null").withColumn("slice", F.shiftright("line_no", SLICE_BITS))
+    slice_ = ["file_name", "slice"]
+    within, over_file = Window.partitionBy(*slice_).orderBy("line_no"), Window.partitionBy("file_name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy(*slice_).agg(F.max_by("gene_id", "line_no").alias("last_gene"))
+    before = ends.withColumn("gene_before", F.last("last_gene", ignorenulls=True).over(over_file)).drop("last_gene")
+    marked = lines.join(before, slice_).withColumn("opens", ~F.col("gene_id").eqNullSafe(F.coalesce(F.lag("gene_id").over(within), F.col("gene_before"))))
+    own = marked.withColumn("own", F.last(F.when(F.col("opens"), F.col("line_no")), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    # a slice that opens no block before a line continues the last one of the slices before it
+    carried = own.groupBy(*slice_).agg(F.max("own").alias("last_own")).withColumn("carry", F.last("last_own", ignorenulls=True).over(over_file)).drop("last_own")
+    return own.join(carried, slice_).select("file_name", "line_no", F.coalesce("own", "carry").alias("block_line"))
 
 
 def attributes(c: Column) -> Column:
@@ -113,6 +139,16 @@ def export_lines(members: DataFrame, exons: DataFrame, genes: DataFrame) -> Data
     return g.select(*order).unionByName(tx.select(*order)).unionByName(ex.select(*order))
 
 
+def header_lines(samples: DataFrame, provider: str = "chainloom") -> DataFrame:
+    """Header lines of each sample in the shape of ``export_lines``, before all others; ``samples`` has (sample_id, id, kind) and any of ``HEADER_COLUMNS``."""
+    known = [c for c in HEADER_COLUMNS if c in samples.columns]
+    named = [F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.concat(F.lit(f"##{c}: "), F.col(c))) for c in known]
+    top = F.array_compact(F.array(F.lit(f"##provider {provider}"), F.lit("##format GTF"), F.concat(F.lit("##id: "), F.coalesce("id", F.col("sample_id").cast("string"))), F.concat(F.lit("##type: "), F.coalesce("kind", F.lit("sample"))), *named))
+    rows = samples.select("sample_id", F.posexplode(top).alias("at", "line"))
+    none, start = F.lit(""), F.lit(-1).cast("long")
+    return rows.select("sample_id", none.alias("seqid"), start.alias("gene_start"), none.alias("gene_id"), start.alias("tx_start"), none.alias("transcript_id"), F.lit(-1).alias("rank"), F.col("at").cast("long").alias("number"), "line")
+
+
 def write_per_sample(lines: DataFrame, path: str) -> None:
     """One folder per sample; lines in order within each, also where a large sample takes several files."""
     keys = ["sample_id", "seqid", "gene_start", "gene_id", "tx_start", "transcript_id", "rank", "number"]

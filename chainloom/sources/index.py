@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
-TABLES = ("segments", "segment_exons", "segment_samples", "segment_sources", "transcripts", "samples", "genes", "quant")
+TABLES = ("segments", "segment_exons", "segment_samples", "segment_sources", "transcripts", "samples", "genes", "quant", "decisions", "counters")
 PARTITIONED = ("segments", "segment_exons")
 
 
@@ -28,7 +28,9 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     meta = json.loads(spark.read.text(f"{path}/_meta").first()["value"])
     if meta["version"] != VERSION:
         raise ValueError(f"index version {meta['version']}, expected {VERSION}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
+    # folder names may look like numbers
+    return {name: df.withColumn("seqid", F.col("seqid").cast("string")) if name in PARTITIONED else df for name, df in tables.items()}
 
 
 def compact(spark: SparkSession, path: str, to: str, with_quant: bool = True) -> None:

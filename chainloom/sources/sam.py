@@ -25,17 +25,17 @@ def cigar_walk(cigar: Column, start: Column) -> Column:
     return F.aggregate(ops, begin, step)
 
 
-def reads(lines: DataFrame, min_mapq: int = 0, primary_only: bool = True) -> DataFrame:
-    """(read_id, seqid, strand, start_pos, end_pos, mapq, junctions) of mapped records; start_pos counts from 0."""
+def reads(lines: DataFrame, min_mapq: int = 0, primary_only: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(read_id, seqid, strand, start_pos, end_pos, mapq, junctions) of mapped records and the columns ``keep`` of their line; start_pos counts from 0."""
     body = lines.filter(~F.col("line").startswith("@")).withColumn("c", F.split("line", "\t")).filter(F.size("c") >= 11)
     flag, pos, mapq = (F.expr(f"try_cast(get(c, {k}) as bigint)") for k in (1, 3, 4))
-    rows = body.select(F.get("c", F.lit(0)).alias("read_id"), flag.alias("flag"), F.get("c", F.lit(2)).alias("seqid"), (pos - 1).alias("start_pos"), mapq.alias("mapq"), F.get("c", F.lit(5)).alias("cigar"))
+    rows = body.select(*keep, F.get("c", F.lit(0)).alias("read_id"), flag.alias("flag"), F.get("c", F.lit(2)).alias("seqid"), (pos - 1).alias("start_pos"), mapq.alias("mapq"), F.get("c", F.lit(5)).alias("cigar"))
     rows = rows.filter((F.col("flag").bitwiseAND(UNMAPPED) == 0) & (F.col("cigar") != "*") & (F.col("start_pos") >= 0))
     if primary_only:
         rows = rows.filter(F.col("flag").bitwiseAND(SECONDARY | SUPPLEMENTARY) == 0)
     rows = rows.filter(F.col("mapq") >= min_mapq).withColumn("w", cigar_walk(F.col("cigar"), F.col("start_pos")))
     strand = F.when(F.col("flag").bitwiseAND(REVERSE) != 0, "-").otherwise("+")
-    return rows.select("read_id", "seqid", strand.alias("strand"), "start_pos", F.col("w.at").alias("end_pos"), "mapq", F.col("w.junctions").alias("junctions"))
+    return rows.select(*keep, "read_id", "seqid", strand.alias("strand"), "start_pos", F.col("w.at").alias("end_pos"), "mapq", F.col("w.junctions").alias("junctions"))
 
 
 def header(lines: DataFrame) -> DataFrame:
