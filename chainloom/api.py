@@ -187,9 +187,10 @@ class Index:
         shapes = t.groupBy(F.col("structure").alias("target")).agg(F.min("chain").alias("chain"))
         taken = t.drop("chain", "gene_id", "start_pos", "end_pos", "n_exons", "block_line", "line_no").join(decided.filter("target is not null").select("structure", "target", "gene_id"), "structure").withColumn("is_own", F.col("structure") == F.col("target")).drop("structure").join(shapes, "target")
         live = taken.withColumnRenamed("target", "structure").withColumns({"start_pos": F.col("chain")[0]["start_pos"], "end_pos": F.array_max(F.transform("chain", lambda x: x["end_pos"])), "n_exons": F.size("chain").cast("long")})
+        # read for every report
+        live = durable(live)
         genes = t.groupBy("gene_id").agg(F.min("gene_name").alias("gene_name"))
         if annotations:
-            # read for every report otherwise
             genes = genes.join(durable(annotation_biotypes(spark, annotations, ids, include_scaffolds, chromosomes)), "gene_id", "left")
         else:
             genes = genes.withColumn("gene_biotype", F.lit(None).cast("string"))

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_p_value
+from ..plans.durable import durable
 
-#: Bins of p-values, on a logarithmic scale, for ranks.
-P_BINS = 512
+#: Bins of distinct p-values, between their quantiles, for ranks.
+P_BINS = 128
 
 
 def usage(matched: DataFrame, quant: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
@@ -46,17 +47,24 @@ def gene_tests(used: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def corrected(tests: DataFrame, p: str = "p_value", threshold: float = 0.05) -> DataFrame:
-    """``tests`` with ``fdr`` (Benjamini-Hochberg) and ``significant``; equal p-values share the largest rank's value."""
-    binned = tests.withColumn("__bin", F.least(F.lit(P_BINS), F.greatest(F.lit(0), F.floor(-F.log2(F.col(p)) * 4).cast("int"))))
-    per_bin = binned.groupBy("__bin").agg(F.count(F.lit(1)).alias("n"))
-    # at most P_BINS + 1 rows from here
-    smaller = Window.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bin.select("__bin", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    ranked = binned.join(F.broadcast(offsets), "__bin").withColumn("__rank", F.col("before") + F.rank().over(Window.partitionBy("__bin").orderBy(p)) + F.count(F.lit(1)).over(Window.partitionBy("__bin", p)) - 1)
-    raw = ranked.withColumn("__raw", F.col(p) * F.col("all") / F.col("__rank"))
+    """``tests`` with ``fdr`` (Benjamini-Hochberg) and ``significant``; equal p-values share the largest rank's value.
+
+    Works on the distinct p-values with their counts, so that a value that most genes have is one row, in bins between
+    quantiles of them, so that no bin holds more than its part.
+    """
+    values = durable(tests.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("n")))
+    edges = values.agg(F.percentile_approx("__p", [k / P_BINS for k in range(1, P_BINS)], 10 * P_BINS)).scalar()
+    binned = values.withColumn("__edges", edges).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__p")))).drop("__edges")
+    # at most P_BINS rows from here
+    sizes = binned.groupBy("__bin").agg(F.sum("n").alias("in_bin"))
+    smaller = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__bin", F.coalesce(F.sum("in_bin").over(smaller), F.lit(0)).alias("before"), F.sum("in_bin").over(Window.partitionBy()).alias("all"))
+    upwards = Window.partitionBy("__bin").orderBy("__p")
+    raw = binned.join(F.broadcast(offsets), "__bin").withColumn("__raw", F.col("__p") * F.col("all") / (F.col("before") + F.sum("n").over(upwards)))
     least = raw.groupBy("__bin").agg(F.min("__raw").alias("m"))
-    later = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
     tail = least.select("__bin", F.min("m").over(later).alias("__tail"))
-    here = F.min("__raw").over(Window.partitionBy("__bin").orderBy(p).rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    out = raw.join(F.broadcast(tail), "__bin").withColumn("fdr", F.least(here, F.col("__tail"), F.lit(1.0)))
-    return out.withColumn("significant", F.col("fdr") <= threshold).drop("__bin", "__rank", "__raw", "__tail", "before", "all")
+    here = F.min("__raw").over(upwards.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    fdr = raw.join(F.broadcast(tail), "__bin").select("__p", F.least(here, F.col("__tail"), F.lit(1.0)).alias("fdr"))
+    out = tests.join(fdr, tests[p] == fdr["__p"], "left").drop("__p")
+    return out.withColumn("significant", F.col("fdr") <= threshold)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..plans.durable import durable
 from .model import Structures
 
+#: Positions of a cell in which introns meet exons, as a power of two.
+CELL_BITS = 10
 _EVENT = ["gene_id", "event_type", "key", "start_pos", "end_pos"]
 
 
@@ -59,8 +61,10 @@ def intron_retention(p: DataFrame) -> DataFrame:
     """Introns that some segments splice and that lie inside an exon of the same gene."""
     introns = p.filter("right is not null").select("gene_id", "seqid", F.col("end_pos").alias("donor"), F.col("right.start_pos").alias("acceptor")).filter("acceptor > donor").distinct()
     exons = p.select("gene_id", "seqid", "start_pos", "end_pos").distinct()
-    # both sides are distinct and limited to one gene, where the range condition is checked
-    found = introns.join(exons, ["gene_id", "seqid"]).filter((F.col("start_pos") <= F.col("donor")) & (F.col("end_pos") >= F.col("acceptor")))
+    # an exon that holds an intron holds its donor: one cell of the intron meets the cells of the exons, in which most of a gene's exons aren't
+    at = introns.withColumn("cell", F.shiftright("donor", CELL_BITS))
+    over = exons.withColumn("cell", F.explode(F.sequence(F.shiftright("start_pos", CELL_BITS), F.shiftright("end_pos", CELL_BITS))))
+    found = at.join(over, ["gene_id", "seqid", "cell"]).filter((F.col("start_pos") <= F.col("donor")) & (F.col("end_pos") >= F.col("acceptor")))
     return found.select("gene_id", *_row("intron_retention", F.concat_ws("-", "donor", "acceptor")), "start_pos", "end_pos")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import junctions, same_junction, within
 from ..plans.durable import durable
-from .overlap import overlap_join, overlap_length
+from .overlap import overlap_join, overlap_length, with_any_overlap
 
 # Fixed values of the classification.
 PERFECT, TIE = 0.999, 0.001
@@ -64,6 +64,11 @@ def overlapping(queries: DataFrame, segments: DataFrame, o: MatchOptions = Match
     return overlap_join(q, r, _SPAN, ("q_start", "q_end"), ("start_pos", "end_pos")).filter(_wide_enough(o)).select("query_id", "segment_id", "start_pos", "end_pos")
 
 
+def with_candidates(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
+    """(query_id) of the queries that have any candidate; no pairs are made."""
+    return with_any_overlap(queries.select("query_id", *_SPAN, "start_pos", "end_pos"), segments, _SPAN, ("start_pos", "end_pos"), ("start_pos", "end_pos"), o.min_overlap).select("query_id").distinct()
+
+
 def matches(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
     """(query_id, segment_id, start_pos, end_pos, n_matched): candidates that share a junction. An equi-join on donor cells; other pairs are not made."""
     width = o.junction_tolerance + 1
@@ -106,7 +111,7 @@ def site_flags(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchO
         return hit.select("query_id", "at", F.lit(side).alias("side")).distinct()
 
     hits = known("donor").unionByName(known("acceptor")).groupBy("query_id").agg(F.count_if(F.col("side") == "donor").alias("known_donors"), F.count_if(F.col("side") == "acceptor").alias("known_acceptors"))
-    with_any = overlapping(queries, segments, o).select("query_id").distinct()
+    with_any = with_candidates(queries, segments, o)
     all_q = queries.filter(F.size("chain") > 1).select("query_id", (F.size("chain") - 1).cast("long").alias("n")).join(with_any, "query_id", "left_semi").join(hits, "query_id", "left").fillna(0, ["known_donors", "known_acceptors"])
     return all_q.select("query_id", "known_donors", "known_acceptors", (F.col("n") - F.col("known_donors")).alias("novel_donors"), (F.col("n") - F.col("known_acceptors")).alias("novel_acceptors"))
 
@@ -114,27 +119,32 @@ def site_flags(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchO
 def best_candidates(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
     """(query_id, segment_id, n_matched, n_ties, ...): the best candidate of each query with both chains' junctions.
 
-    Where no candidate shares a junction all score alike, and the first by (start, end, id) is the best.
+    Where no candidate shares a junction all score alike, and the first by (start, end, id) is the best; only for these
+    queries the overlapping segments are looked at.
     """
     place = F.struct("start_pos", "end_pos", "segment_id")
-    first = overlapping(queries, segments, o).groupBy("query_id").agg(F.min(place).alias("first"))
-    m = matches(queries, segments, o)
-    top = m.groupBy("query_id").agg(F.min(F.struct((-F.col("n_matched")).alias("n"), "start_pos", "end_pos", "segment_id")).alias("top"))
-    chosen = first.join(top, "query_id", "left").select("query_id", F.coalesce("top.segment_id", "first.segment_id").alias("segment_id"), F.coalesce(-F.col("top.n"), F.lit(0)).alias("n_matched"))
-    n_ties = ties(queries, segments, o, with_single=False).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ties"))
+    # read by the best, by the ties, and to know who is left
+    m = durable(matches(queries, segments, o))
+    top = m.groupBy("query_id").agg(F.min(F.struct((-F.col("n_matched")).alias("n"), "start_pos", "end_pos", "segment_id")).alias("top")).select("query_id", "top.segment_id", (-F.col("top.n")).alias("n_matched"))
+    rest = queries.join(m.select("query_id").distinct(), "query_id", "left_anti")
+    first = overlapping(rest, segments, o).groupBy("query_id").agg(F.min(place).alias("first")).select("query_id", "first.segment_id", F.lit(0).cast("long").alias("n_matched"))
+    chosen = top.unionByName(first)
+    n_ties = _tied(m, queries, o).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ties"))
     q = queries.select("query_id", "strand", F.col("start_pos").alias("q_start"), F.col("end_pos").alias("q_end"), junctions(F.col("chain")).alias("qj"))
     r = segments.select("segment_id", "gene_id", "chain", junctions(F.col("chain")).alias("rj"))
     score = F.when(F.size("qj") == 0, F.lit(1.0)).otherwise(F.col("n_matched") / F.size("qj"))
     return chosen.join(n_ties, "query_id", "left").join(q, "query_id").join(r, "segment_id").withColumn("score", score)
 
 
-def ties(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions(), with_single: bool = True) -> DataFrame:
-    """(query_id, segment_id) of every candidate that scores as well as the best one; for single-exon queries these are all."""
-    m = _with_score(matches(queries, segments, o), queries)
+def _tied(matched: DataFrame, queries: DataFrame, o: MatchOptions) -> DataFrame:
+    m = _with_score(matched, queries)
     top = m.groupBy("query_id").agg(F.max("score").alias("top"))
-    out = m.join(top, "query_id").filter((F.col("top") - F.col("score") < TIE) & (F.col("score") >= o.min_junction_score)).select("query_id", "segment_id")
-    if not with_single:
-        return out
+    return m.join(top, "query_id").filter((F.col("top") - F.col("score") < TIE) & (F.col("score") >= o.min_junction_score)).select("query_id", "segment_id")
+
+
+def ties(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOptions()) -> DataFrame:
+    """(query_id, segment_id) of every candidate that scores as well as the best one; for single-exon queries these are all."""
+    out = _tied(matches(queries, segments, o), queries, o)
     return out.unionByName(overlapping(queries.filter(F.size("chain") == 1), segments, o).select("query_id", "segment_id"))
 
 
@@ -172,7 +182,7 @@ def classify(queries: DataFrame, segments: DataFrame, o: MatchOptions = MatchOpt
     queries = durable(queries.select("query_id", *_SPAN, "start_pos", "end_pos", "chain"))
     segments = durable(segments.select("segment_id", *_SPAN, "start_pos", "end_pos", "gene_id", "chain"))
     counts = ["known_donors", "known_acceptors", "novel_donors", "novel_acceptors"]
-    best = best_candidates(queries, segments, o).join(site_flags(queries, segments, o), "query_id", "left").fillna(0, [*counts, "n_ties"])
+    best = durable(best_candidates(queries, segments, o)).join(site_flags(queries, segments, o), "query_id", "left").fillna(0, [*counts, "n_ties"])
     done = _subcategories(best, o).select("query_id", "category", "subcategory", "segment_id", "gene_id", F.round("score", 6).alias("score"), F.col("n_matched").cast("long"), F.size("qj").cast("long").alias("query_junctions"), F.size("rj").cast("long").alias("ref_junctions"), *counts)
     rest = queries.select("query_id").join(done, "query_id", "left")
     return rest.fillna({"category": "intergenic", "subcategory": "none", "score": 0.0, "n_matched": 0, "query_junctions": 0, "ref_junctions": 0, **dict.fromkeys(counts, 0)})
@@ -185,7 +195,7 @@ def novel_junctions(queries: DataFrame, segments: DataFrame, o: MatchOptions = M
     r = _segment_junctions(segments).select(*_SPAN, "start_pos", "end_pos", "donor", "acceptor").distinct().withColumn("cell", F.floor(F.col("donor") / width))
     near = within(F.col("q_donor"), F.col("donor"), o.junction_tolerance) & within(F.col("q_acceptor"), F.col("acceptor"), o.junction_tolerance)
     known = q.withColumn("cell", _cells("q_donor", width)).join(r, [*_SPAN, "cell"]).filter(near & _wide_enough(o)).select("query_id", "at").distinct()
-    some = overlapping(queries, segments, o).select("query_id").distinct()
+    some = with_candidates(queries, segments, o)
     return q.join(some, "query_id", "left_semi").join(known, ["query_id", "at"], "left_anti").select("query_id", F.col("q_donor").alias("donor"), F.col("q_acceptor").alias("acceptor"))
 
 

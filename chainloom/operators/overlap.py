@@ -30,6 +30,21 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, s
     return joined.filter((F.col("__bin") == first) & overlaps(F.col(a0), F.col(a1), F.col(b0), F.col(b1))).drop("__bin")
 
 
+def with_any_overlap(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str], least: int = 0) -> DataFrame:
+    """Rows of ``a`` that overlap any row of ``b``, by at least ``least``. A semi-join within bins, which ends at the first hit of a row; no pairs are made."""
+    (a0, a1), (b0, b1) = a_span, b_span
+    left = a.filter(F.col(a0) <= F.col(a1)).select(*on, F.col(a0).alias("__a0"), F.col(a1).alias("__a1")).distinct()
+    binned = left.withColumn("__bin", F.explode(_bins("__a0", "__a1")))
+    right = b.filter(F.col(b0) <= F.col(b1)).select(*on, F.col(b0).alias("__b0"), F.col(b1).alias("__b1")).distinct().withColumn("__bin", F.explode(_bins("__b0", "__b1")))
+    x, y = binned.alias("x"), right.alias("y")
+    same = F.lit(True)
+    for c in (*on, "__bin"):
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    length = F.least(F.col("x.__a1"), F.col("y.__b1")) - F.greatest(F.col("x.__a0"), F.col("y.__b0"))
+    hit = x.join(y, same & (length > 0) & (length >= least), "left_semi").select(*on, F.col("__a0").alias(a0), F.col("__a1").alias(a1)).distinct()
+    return a.join(hit, [*on, a0, a1], "left_semi")
+
+
 def overlap_length(a0: str, a1: str, b0: str, b1: str) -> Column:
     return F.least(F.col(a1), F.col(b1)) - F.greatest(F.col(a0), F.col(b0))
 

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 _BITS, _TOP = 16, 3
 _MASK = (1 << _BITS) - 1
+#: Positions of a slice within which one task puts the spans or periods of an entity in order, as a power of two.
+SLICE_BITS = 26
 #: Pieces a scan task holds before it emits their union.
 HELD_PIECES = 400_000
 
@@ -150,8 +152,12 @@ def _spans(intervals: DataFrame, entity: list[str], start: str, end: str) -> Dat
     met = bitmaps.repartition(*names).sortWithinPartitions(*names)
     key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept[:-2])
     spans = met.mapInPandas(_unioner(names), f"{key}, first bigint, last bigint, gap_starts array<bigint>, gap_ends array<bigint>")
-    earlier = Window.partitionBy(*own).orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("before", F.max("last").over(earlier))
+    # in order within slices of an entity; only one row per slice is ordered over the whole entity
+    sliced = spans.withColumn("slice", F.shiftright("first", SLICE_BITS))
+    until = Window.unboundedPreceding, -1
+    inside = F.max("last").over(Window.partitionBy(*own, "slice").orderBy("first", F.desc("last")).rowsBetween(*until))
+    reach = sliced.groupBy(*own, "slice").agg(F.max("last").alias("reach")).withColumn("so_far", F.max("reach").over(Window.partitionBy(*own).orderBy("slice").rowsBetween(*until))).drop("reach")
+    return sliced.withColumn("inside", inside).join(reach, [*own, "slice"]).withColumn("before", F.greatest("inside", "so_far")).drop("inside", "so_far", "slice")
 
 
 def _own(entity: list[str]) -> list[str]:
@@ -184,7 +190,10 @@ def periods(intervals: DataFrame, entity: list[str], start: str, end: str) -> Da
     # a period opens at the first position and after each gap; it closes before the next gap or at the last position
     marks = _gaps_of(spans, entity).select(*own, (F.col("gap_end") + 1).alias("opens"), (F.col("gap_start") - 1).alias("closed"), F.lit(None).cast("long").alias("last"))
     outer = spans.groupBy(*own).agg(F.min("first").alias("opens"), F.lit(None).cast("long").alias("closed"), F.max("last").alias("last"))
-    w = Window.partitionBy(*own).orderBy("opens")
-    whole = Window.partitionBy(*own)
-    whole_rows = marks.unionByName(outer).select(*own, F.col("opens").alias("period_start"), F.coalesce(F.lead("closed").over(w), F.max("last").over(whole)).alias("period_end"))
+    rows = marks.unionByName(outer).withColumn("slice", F.shiftright("opens", SLICE_BITS))
+    slices = rows.groupBy(*own, "slice").agg(F.min_by("closed", "opens").alias("first_closed"), F.max("last").alias("last_here"))
+    later = Window.partitionBy(*own).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    ends = slices.select(*own, "slice", F.coalesce(F.first("first_closed", ignorenulls=True).over(later), F.max("last_here").over(Window.partitionBy(*own))).alias("ends"))
+    inside = F.lead("closed").over(Window.partitionBy(*own, "slice").orderBy("opens"))
+    whole_rows = rows.withColumn("inside", inside).join(ends, [*own, "slice"]).select(*own, F.col("opens").alias("period_start"), F.coalesce("inside", "ends").alias("period_end"))
     return _named(whole_rows, entity)

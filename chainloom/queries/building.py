@@ -14,8 +14,6 @@ from .structure import CORE_SQL
 
 REGION = "chr1:2000000-4000000"
 LEAST_COVERAGE = 10.0
-#: Most samples that a matrix may have as columns.
-MAX_COLUMNS = 2_000
 
 
 def _s(fn):
@@ -122,10 +120,8 @@ def sample_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def sharing_matrix(spark: SparkSession, folder: str) -> DataFrame:
     s = model.load(spark, folder)
-    # the columns of the matrix: all samples, whose number is bounded by the manifest
-    ids = [r["sample_id"] for r in s.samples.select("sample_id").orderBy("sample_id").limit(MAX_COLUMNS + 1).collect()]
-    if len(ids) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} samples; use the long form")
+    # the columns of the matrix: one for each sample
+    ids = [r["sample_id"] for r in s.samples.select("sample_id").orderBy("sample_id").collect()]
     return summary.sharing_matrix(summary.sharing_per_sample(s, 0.1), ids)
 
 

@@ -49,7 +49,7 @@ def best_gene(q: DataFrame, r: DataFrame) -> DataFrame:
 
 def annotated_only(q: DataFrame, r: DataFrame) -> DataFrame:
     """Queries that overlap the reference at all."""
-    return overlap_pairs(q, r).select("query_id").distinct()
+    return overlap.with_any_overlap(q.select("query_id", *SPANS, "start_pos", "end_pos"), r, SPANS, ("start_pos", "end_pos"), ("start_pos", "end_pos")).select("query_id").distinct()
 
 
 def gene_inheritance(spark: SparkSession, folder: str) -> DataFrame:
