@@ -10,6 +10,7 @@ from ..operators import absorb, clusters, model, quant, summary
 from ..plans.durable import durable
 from ..plans.tables import table
 from ..sources import gtf
+from . import folds
 from .structure import CORE_SQL
 
 REGION = "chr1:2000000-4000000"
@@ -190,3 +191,4 @@ q as (select file_name, nullif(vs[list_position(ks, 'gene_id')], '') as g, nulli
 select file_name, count(*) as n, count(*) filter (where cov is null or cov >= 10.0) as passed, round(sum(cov), 3) as coverage from q where g is not null and t is not null group by 1""",
     "sample_groups": f"{CORE_SQL} select sample_id, kind, sample_group, kind = 'annotation' as is_annotation, kind = 'annotation' or named as is_annotation_loose from sm",
 }
+ORACLE |= folds.ORACLE
