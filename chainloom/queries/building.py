@@ -10,7 +10,7 @@ from ..operators import absorb, clusters, model, quant, summary
 from ..plans.durable import durable
 from ..plans.tables import table
 from ..sources import gtf
-from . import folds
+from . import folds, structure
 from .structure import CORE_SQL
 
 REGION = "chr1:2000000-4000000"
@@ -192,3 +192,5 @@ select file_name, count(*) as n, count(*) filter (where cov is null or cov >= 10
     "sample_groups": f"{CORE_SQL} select sample_id, kind, sample_group, kind = 'annotation' as is_annotation, kind = 'annotation' or named as is_annotation_loose from sm",
 }
 ORACLE |= folds.ORACLE
+ORACLE["sharing_matrix"] = f"""pivot (select sample_id, metric, n from (unpivot ({structure.ORACLE['sharing_per_sample']}) on total, exclusive, shared, conserved into name metric value n)
+  union all select distinct sample_id, metric, null from sample_info, (values ('total'), ('exclusive'), ('shared'), ('conserved')) as m(metric) where sample_id is not null) on sample_id using max(n) group by metric"""

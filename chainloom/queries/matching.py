@@ -136,8 +136,8 @@ r as (select * from seg where segment_id in (select segment_id from src where so
 jn as (select transcript_id, n, end_pos as donor, nxt as acceptor from (select *, row_number() over w as n, lead(start_pos) over w as nxt from ex0 window w as (partition by transcript_id order by start_pos, end_pos)) where nxt is not null),
 pr as (select query_id, segment_id, q_start, q_end, r.start_pos, r.end_pos, r.gene_id, q.n_exons - 1 as nq, r.n_exons - 1 as nr, strand, least(q_end, r.end_pos) - greatest(q_start, r.start_pos) as ov
        from q join r using (seqid, strand) where q_start < r.end_pos and q_end > r.start_pos),
-c0 as (select * from pr where ov > 0 and ov >= 50),
-mt as (select query_id, segment_id, count(distinct a.n) as m from c0 join jn a on a.transcript_id = query_id join jn b on b.transcript_id = segment_id and abs(a.donor - b.donor) <= 5 and abs(a.acceptor - b.acceptor) <= 5 group by 1, 2),
+c0 as materialized (select * from pr where ov > 0 and ov >= 50),
+mt as materialized (select query_id, segment_id, count(distinct a.n) as m from c0 join jn a on a.transcript_id = query_id join jn b on b.transcript_id = segment_id and abs(a.donor - b.donor) <= 5 and abs(a.acceptor - b.acceptor) <= 5 group by 1, 2),
 cd as (select c0.*, coalesce(m, 0) as n_matched, case when nq = 0 then 1.0 else coalesce(m, 0)::double / nq end as score from c0 left join mt using (query_id, segment_id)),
 ti as (select query_id, segment_id from (select *, max(score) over (partition by query_id) as top from cd) where top - score < 0.001 and score >= 0.8),
 kn as (select query_id, a.n, bool_or(abs(a.donor - b.donor) <= 10) as d, bool_or(abs(a.acceptor - b.acceptor) <= 10) as ac from cd join jn a on a.transcript_id = query_id left join jn b on b.transcript_id = segment_id group by 1, 2),

@@ -98,20 +98,24 @@ select seqid, gene_id, min(start_pos) as period_start, max(end_pos) as period_en
 }
 
 _PAIR_SQL = r"""([^\s";]+)\s+("[^"]*"|[A-Za-z0-9_.:-]+)"""
-ORACLE["p2_found"] = rf"""
+_P2_SQL = rf"""
 with g0 as (select line_id, regexp_replace(line, chr(13) || '$', '') as line from raw_gtf), g1 as (select line_id, string_split(line, chr(9)) as c from g0 where regexp_matches(line, '\S') and line not like '#%'),
-g2 as (select line_id, len(c) as n, c[3] as kind, c[4] as s, c[5] as e, c[7] as strand, coalesce(c[9], '') as a from g1),
-g3 as (select *, regexp_full_match(a, '\s*{_PAIR_SQL}(\s*;\s*{_PAIR_SQL})*\s*;?\s*') as ok, regexp_extract_all(a, '{_PAIR_SQL}', 1) as ks, list_transform(regexp_extract_all(a, '{_PAIR_SQL}', 2), lambda v: trim(trim(v, '"'))) as vs from g2),
-g4 as (select line_id, case when n <> 9 then 'columns' when not ok then 'quoting'
+g2 as (select line_id, c as cells, len(c) as n, c[3] as kind, c[4] as s, c[5] as e, c[7] as strand, coalesce(c[9], '') as a from g1),
+g3 as (select *, regexp_full_match(a, '\s*{_PAIR_SQL}(\s*;\s*{_PAIR_SQL})*\s*;?\s*') as ok, regexp_extract_all(a, '{_PAIR_SQL}', 1) as ks, list_transform(regexp_extract_all(a, '{_PAIR_SQL}', 2), lambda v: trim(trim(v, '"'))) as vs, list_transform(regexp_extract_all(a, '{_PAIR_SQL}', 2), lambda v: case when v[1] = '"' then v[2:-2] else v end) as raw from g2),
+g4 as (select line_id, cells, ks, raw, s, e, strand, kind, case when n <> 9 then 'columns' when not ok then 'quoting'
   when not (regexp_full_match(s, '[0-9]+') and regexp_full_match(e, '[0-9]+')) or try_cast(s as hugeint) < 1 or try_cast(s as hugeint) > try_cast(e as hugeint) or strand not in ('+', '-', '.') then 'value'
   when coalesce(vs[list_position(ks, 'gene_id')], '') in ('', '.') or (kind in ('transcript', 'exon') and coalesce(vs[list_position(ks, 'transcript_id')], '') in ('', '.')) then 'value' end as reason from g3),
 m0 as (select line_id, file_name, line_no, regexp_replace(line, chr(13) || '$', '') as line from raw_manifest), m1 as (select * from m0 where regexp_matches(line, '\S') and line not like '#%'),
 m2 as (select *, first_value(line) over w as head, row_number() over w as nth from m1 window w as (partition by file_name order by line_no, line_id)),
 m3 as (select line_id, list_transform(string_split(lower(head), chr(9)), lambda h: trim(h)) as hs, string_split(line, chr(9)) as c from m2 where nth > 1),
 m4 as (select *, list_transform(c, lambda v: case when regexp_full_match(v, '"([^"]|"")*"') then trim(replace(v[2:-2], '""', '"')) else trim(v) end) as vs from m3),
-m5 as (select line_id, case when len(hs) <> len(c) then 'columns' when len(list_filter(c, lambda v: contains(v, '"') and not regexp_full_match(v, '"([^"]|"")*"'))) > 0 then 'quoting'
-  when not regexp_matches(lower(coalesce(vs[list_position(hs, 'file')], '')), '\.(gtf|gff|gff3|bam|sam)(\.gz)?$') or lower(coalesce(vs[list_position(hs, 'type')], '')) not in ('sample', 'annotation', 'replicate', '.', '') then 'value' end as reason from m4)
+m5 as (select line_id, hs, vs, case when len(hs) <> len(c) then 'columns' when len(list_filter(c, lambda v: contains(v, '"') and not regexp_full_match(v, '"([^"]|"")*"'))) > 0 then 'quoting'
+  when not regexp_matches(lower(coalesce(vs[list_position(hs, 'file')], '')), '\.(gtf|gff|gff3|bam|sam)(\.gz)?$') or lower(coalesce(vs[list_position(hs, 'type')], '')) not in ('sample', 'annotation', 'replicate', '.', '') then 'value' end as reason from m4)"""
+ORACLE["p2_found"] = f"""{_P2_SQL}
 select 'raw_gtf' as raw_table, line_id, reason from g4 where reason is not null union all select 'raw_manifest', line_id, reason from m5 where reason is not null"""
+ORACLE["p2_loaded_gtf"] = f"""{_P2_SQL} select line_id, cells[1] as seqid, cells[2] as source, kind as entry_type, try_cast(s as bigint) as start_pos, try_cast(e as bigint) as end_pos, strand,
+  raw[list_position(ks, 'gene_id')] as gene_id, raw[list_position(ks, 'transcript_id')] as transcript_id, len(ks) as n_attributes from g4 where reason is null"""
+ORACLE["p2_loaded_manifest"] = f"""{_P2_SQL} select line_id, vs[list_position(hs, 'file')] as source_file, case when lower(coalesce(vs[list_position(hs, 'type')], '')) in ('', '.') then 'sample' else lower(vs[list_position(hs, 'type')]) end as entry_type from m5 where reason is null"""
 ORACLE["p4_found"] = f"""
 with f as (select file_id, lag(file_id) over (partition by provider, feature_kind order by delivered_at, file_id) as prev from feed_file),
 k as (select record_id, file_id, rec_key, payload, unnest(json_keys(payload)) as field from feed_record),
