@@ -1,9 +1,11 @@
 """One consistent table from files whose fields are added, renamed, removed or change type.
 
 Each file's schema is folded from its payloads with partial aggregation: the
-set of JSON kinds of every top-level field. Files are compared with the one
-delivered just before for the same provider and feature kind. Kinds promote
-through a small lattice (one kind stays, several become string).
+set of JSON kinds of every top-level field, as bits. Files are compared with the
+one delivered just before for the same provider and feature kind; values are read
+again only for the fields that may have been renamed. Kinds promote through a
+lattice: null below all, boolean and number below string, array and object apart
+from these, variant above all.
 
 Defined results: a payload that is no JSON object names no fields; a payload
 with a repeated field names it, but gives it no value (its other fields have
@@ -30,13 +32,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import checked_broadcast, durable
 from ..plans.grouped import fold_groups
 
 #: Share of common non-null values, in tenths, from which a gone and a new field are the same.
 RENAME_TENTHS = 9
-#: Largest number of distinct pairs of renamed fields, over all feature kinds, that the unified schema may follow; more raise.
-MAX_NAMES = 20_000
+#: Fields of files, of those that may have been renamed, that are sent to all tasks; more are joined by a shuffle.
+SENT_FIELDS = 200_000
+# The kinds of JSON values in alphabetical order; a set of kinds is a number with one bit for each.
+KINDS = ("array", "boolean", "number", "object", "string")
 STREAM = ["provider", "feature_kind"]
 
 
@@ -107,21 +111,41 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["record_id", "file_id", "rec_key", "field", "written", "written_kind", "written_text"])
 
 
-def fields(records: DataFrame) -> DataFrame:
-    """(record_id, file_id, rec_key, field, kind, text) of every top-level field; kind and text are null for JSON null."""
-    parsed = records.select("record_id", "file_id", "rec_key", F.json_object_keys("payload").alias("names"), F.try_parse_json("payload").alias("v"))
-    whole = parsed.filter("names is not null and v is not null")
-    valued = whole.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer())).select("record_id", "file_id", "rec_key", F.col("key").alias("field"), "value")
-    # payloads that repeat a field, on whatever level, or are too large are no variants; their fields are cut out one by one
-    odd = records.filter(F.json_object_keys("payload").isNotNull() & F.try_parse_json("payload").isNull())
-    columns = ["record_id", "file_id", "rec_key", "field"]
+def _odd(payload: Column, parsed: Column) -> Column:
+    """Whether a payload names fields but is no variant: it repeats a field, on whatever level, is too large, or only a lenient reader takes it."""
+    return parsed.isNull() & F.json_object_keys(payload).isNotNull()
+
+
+_IDS = ["record_id", "file_id", "rec_key"]
+
+
+def _parsed(records: DataFrame) -> DataFrame:
+    """(record_id, file_id, rec_key, is_odd, field, value) of the top-level fields of each payload; one row without field where there are none."""
+    v = records.select(*_IDS, "payload", F.try_parse_json("payload").alias("v"))
+    marked = v.select(*_IDS, _odd(F.col("payload"), F.col("v")).alias("is_odd"), "v")
+    return marked.lateralJoin(records.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select(*_IDS, "is_odd", F.col("key").alias("field"), "value")
+
+
+def _cut_out(records: DataFrame) -> DataFrame:
+    """(record_id, file_id, rec_key, field, kind, text) of the odd payloads among ``records``, whose fields are cut out one by one."""
+    odd = records.filter(_odd(F.col("payload"), F.try_parse_json("payload")))
     # ids pass as text, as pandas makes floats of integers with nulls
-    odd = odd.select(*(F.col(c).cast("string") for c in columns[:3]), F.array_distinct(F.json_object_keys("payload")).alias("names"), "payload")
-    parts = odd.mapInPandas(_cut, "record_id string, file_id string, rec_key string, field string, written string, written_kind string, written_text string").withColumns({c: F.col(c).cast(records.schema[c].dataType) for c in columns[:3]} | {"value": F.try_parse_json("written")})
-    whole_rows = valued.select(*columns, _kind(F.col("value")).alias("kind"), F.col("value").cast("string").alias("text"))
+    named = odd.select(*(F.col(c).cast("string") for c in _IDS), F.array_distinct(F.json_object_keys("payload")).alias("names"), "payload")
+    parts = named.mapInPandas(_cut, "record_id string, file_id string, rec_key string, field string, written string, written_kind string, written_text string").withColumns({c: F.col(c).cast(records.schema[c].dataType) for c in _IDS} | {"value": F.try_parse_json("written")})
     # the kind and text as written count where the value itself is no variant either
-    part_rows = parts.select(*columns, F.when(F.col("value").isNull(), F.col("written_kind")).otherwise(_kind(F.col("value"))).alias("kind"), F.when(F.col("value").isNull(), F.col("written_text")).otherwise(F.col("value").cast("string")).alias("text"))
-    return whole_rows.unionByName(part_rows)
+    bare = F.col("value").isNull()
+    return parts.select(*_IDS, "field", F.when(bare, F.col("written_kind")).otherwise(_kind(F.col("value"))).alias("kind"), F.when(bare, F.col("written_text")).otherwise(F.col("value").cast("string")).alias("text"))
+
+
+def fields(records: DataFrame, odd_files: DataFrame | None = None) -> DataFrame:
+    """(record_id, file_id, rec_key, field, kind, text) of every top-level field; kind and text are null for JSON null.
+
+    ``odd_files`` has the (file_id) of the files that hold odd payloads, if that is known; others needn't be read for them.
+    """
+    whole = _parsed(records).filter("field is not null").select(*_IDS, "field", _kind(F.col("value")).alias("kind"), F.col("value").cast("string").alias("text"))
+    if odd_files is None:
+        return whole.unionByName(_cut_out(records))
+    return whole if odd_files.isEmpty() else whole.unionByName(_cut_out(records.join(odd_files, "file_id", "left_semi")))
 
 
 def with_previous(files: DataFrame) -> DataFrame:
@@ -140,9 +164,27 @@ def with_previous(files: DataFrame) -> DataFrame:
     return within.join(before, same[0] & same[1] & same[2]).select("file_id", *(within[c] for c in STREAM), "delivered_at", F.coalesce("prev_id", "before_id").alias("prev_id"))
 
 
-def file_schemas(long: DataFrame) -> DataFrame:
-    """(file_id, field, kinds): the sorted JSON kinds of each field of each file."""
-    return long.groupBy("file_id", "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+def _bits(kind: Column) -> Column:
+    bit = F.lit(0)
+    for n, k in enumerate(KINDS):
+        bit = F.when(kind == k, F.lit(1 << n)).otherwise(bit)
+    return bit
+
+
+def _named(bits: Column) -> Column:
+    """The sorted kinds of a set given as bits."""
+    return F.array_compact(F.array(*(F.when(bits.bitwiseAND(F.lit(1 << n)) != 0, F.lit(k)) for n, k in enumerate(KINDS))))
+
+
+def file_schemas(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file_id, field, kinds): the sorted JSON kinds of each field of each file, and (file_id) of the files with odd payloads. Both are durable."""
+    found = durable(_parsed(records).groupBy("file_id", "field").agg(F.bit_or(_bits(_kind(F.col("value")))).alias("bits"), F.bool_or("is_odd").alias("is_odd")))
+    odd_files = durable(found.filter("is_odd and field is null").select("file_id"))
+    whole = found.filter("field is not null").select("file_id", "field", "bits")
+    if not odd_files.isEmpty():
+        more = _cut_out(records.join(odd_files, "file_id", "left_semi")).groupBy("file_id", "field").agg(F.bit_or(_bits(F.col("kind"))).alias("bits"))
+        whole = durable(whole.unionByName(more).groupBy("file_id", "field").agg(F.bit_or("bits").alias("bits")))
+    return whole.select("file_id", "field", _named(F.col("bits")).alias("kinds")), odd_files
 
 
 def _last_of_key(long: DataFrame) -> DataFrame:
@@ -167,14 +209,17 @@ def _matched(key: tuple, pairs: Iterable[tuple]) -> Iterator[tuple]:
             yield (*key, old, new)
 
 
-def renames(long: DataFrame, sides: DataFrame) -> DataFrame:
+def renames(records: DataFrame, sides: DataFrame, odd_files: DataFrame) -> DataFrame:
     """(file_id, old_field, new_field, was, now): gone fields that live on under a new name."""
     gone = sides.filter(F.col("now").isNull()).select("file_id", "prev_id", F.col("field").alias("old_field"), "was")
     new = sides.filter(F.col("was").isNull()).select("file_id", F.col("field").alias("new_field"), "now")
     # fields whose file has no counterpart of the other sort cannot be renamed; their values needn't be read
     gone_only = gone.join(new.select("file_id").distinct(), "file_id", "left_semi")
     new_only = new.join(gone.select("file_id").distinct(), "file_id", "left_semi")
-    values = long.filter(F.col("text").isNotNull())
+    wanted = durable(gone_only.select(F.col("prev_id").alias("file_id"), F.col("old_field").alias("field")).unionByName(new_only.select("file_id", F.col("new_field").alias("field"))).distinct())
+    touched = checked_broadcast(durable(wanted.select("file_id").distinct()), SENT_FIELDS)
+    read = records.join(touched, "file_id", "left_semi")
+    values = durable(fields(read, odd_files).filter("text is not null").join(checked_broadcast(wanted, SENT_FIELDS), ["file_id", "field"]).select("file_id", "rec_key", "field", "record_id", "text"))
     old_values = _last_of_key(values.join(gone_only, (values["file_id"] == gone_only["prev_id"]) & (values["field"] == gone_only["old_field"])).select(gone_only["file_id"], "rec_key", F.col("old_field").alias("field"), "record_id", "text"))
     new_values = _last_of_key(values.join(new_only, (values["file_id"] == new_only["file_id"]) & (values["field"] == new_only["new_field"])).select(values["file_id"], "rec_key", F.col("new_field").alias("field"), "record_id", "text"))
     both = old_values.select("file_id", "rec_key", F.col("field").alias("old_field"), F.col("text").alias("old_text")).join(new_values.select("file_id", "rec_key", F.col("field").alias("new_field"), F.col("text").alias("new_text")), ["file_id", "rec_key"])
@@ -187,10 +232,13 @@ def renames(long: DataFrame, sides: DataFrame) -> DataFrame:
 
 def changes(files: DataFrame, records: DataFrame) -> DataFrame:
     """(file_id, change_kind, old_field, new_field, old_kinds, new_kinds) of each file against the one before it."""
-    long = fields(records)
+    return _changes(files, records, *file_schemas(records))
+
+
+def _changes(files: DataFrame, records: DataFrame, schemas: DataFrame, odd_files: DataFrame) -> DataFrame:
     # both are small beside the records and read several times
-    sides = durable(_sides(files, file_schemas(long)))
-    renamed = durable(renames(long, sides))
+    sides = durable(_sides(files, schemas))
+    renamed = durable(renames(records, sides, odd_files))
     differs = (F.size("was") > 0) & (F.size("now") > 0) & (F.col("was") != F.col("now"))
 
     def log(df: DataFrame, kind: str, old: Column, new: Column) -> DataFrame:
@@ -214,53 +262,49 @@ def changes(files: DataFrame, records: DataFrame) -> DataFrame:
 def canonical_names(files: DataFrame, log: DataFrame) -> DataFrame:
     """(feature_kind, field, name): names that renames connect are one column, called as the smallest of them.
 
-    Works on the distinct pairs of names of each feature kind, whose number
-    depends on the vocabulary of the feeds and not on the number of files; it is
-    checked against ``MAX_NAMES``.
+    Each name takes the smallest name around it, then the name of that one, until nothing moves; so the rounds grow with
+    the logarithm of the longest chain of renames, and names are never gathered.
     """
-    pairs = log.filter(F.col("change_kind") == "renamed").join(files.select("file_id", "feature_kind"), "file_id").groupBy("feature_kind", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"))
-    found = pairs.limit(MAX_NAMES + 1).collect()
-    if len(found) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} distinct renames")
-    parent: dict[tuple[str, str], tuple[str, str]] = {}
-
-    def root(x: tuple[str, str]) -> tuple[str, str]:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for r in found:
-        a, b = root((r["feature_kind"], r["old_field"])), root((r["feature_kind"], r["new_field"]))
-        parent[max(a, b)] = min(a, b)
-    rows = sorted((*x, root(x)[1]) for x in parent)
-    return log.sparkSession.createDataFrame(rows, "feature_kind string, field string, name string")
+    pairs = log.filter(F.col("change_kind") == "renamed").join(files.select("file_id", "feature_kind"), "file_id").select("feature_kind", "old_field", "new_field").distinct()
+    edges = durable(pairs.select("feature_kind", F.col("old_field").alias("field"), F.col("new_field").alias("other")).unionByName(pairs.select("feature_kind", F.col("new_field").alias("field"), F.col("old_field").alias("other"))).distinct())
+    state = durable(edges.groupBy("feature_kind", "field").agg(F.least("field", F.min("other")).alias("name")))
+    while True:
+        around = edges.join(state.select("feature_kind", F.col("field").alias("other"), "name"), ["feature_kind", "other"]).groupBy("feature_kind", "field").agg(F.min("name").alias("near"))
+        step = state.join(around, ["feature_kind", "field"]).select("feature_kind", "field", F.col("name").alias("was"), F.least("name", "near").alias("name"))
+        jump = step.select("feature_kind", F.col("field").alias("name"), F.col("name").alias("further"))
+        after = durable(step.join(jump, ["feature_kind", "name"]).select("feature_kind", "field", "was", F.col("further").alias("name")))
+        state = after.drop("was")
+        if after.filter("name <> was").isEmpty():
+            return state
 
 
 def promoted(kinds: Column) -> Column:
-    """Least kind of the lattice that holds all of ``kinds``: a single kind stays, several become string."""
-    return F.when(F.size(kinds) == 1, kinds[0]).otherwise(F.lit("string"))
+    """Least kind of the lattice that holds all of ``kinds``: null for none, the kind itself for one, string for several plain ones, variant where an array or object meets another kind."""
+    structured = F.arrays_overlap(kinds, F.array(F.lit("array"), F.lit("object")))
+    return F.when(F.size(kinds) == 0, "null").when(F.size(kinds) == 1, kinds[0]).when(structured, "variant").otherwise("string")
 
 
-def union_schema(files: DataFrame, long: DataFrame, names: DataFrame) -> DataFrame:
-    """(feature_kind, name, kind, n_files): the columns of the consistent table of each feature kind."""
-    by_file = file_schemas(long).join(files.select("file_id", "feature_kind"), "file_id").join(names, ["feature_kind", "field"], "left")
-    return by_file.withColumn("name", F.coalesce("name", "field")).groupBy("feature_kind", "name").agg(promoted(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds"))))).alias("kind"), F.countDistinct("file_id").alias("n_files"))
+def union_schema(files: DataFrame, schemas: DataFrame, names: DataFrame) -> DataFrame:
+    """(feature_kind, name, kind, n_files): the columns of the consistent table of each feature kind; ``schemas`` as ``file_schemas`` gives them."""
+    by_file = schemas.join(files.select("file_id", "feature_kind"), "file_id").join(names, ["feature_kind", "field"], "left")
+    own = by_file.select("feature_kind", F.coalesce("name", "field").alias("name"), "file_id", F.aggregate("kinds", F.lit(0), lambda a, k: a.bitwiseOR(_bits(k))).alias("bits"))
+    return own.groupBy("feature_kind", "name").agg(promoted(_named(F.bit_or("bits"))).alias("kind"), F.countDistinct("file_id").alias("n_files"))
 
 
 def unified(files: DataFrame, records: DataFrame) -> DataFrame:
-    """All records as one long table cast to the union schema: (feature_kind, file_id, record_id, rec_key, name, kind, text, number, truth).
+    """All records as one long table cast to the union schema: (feature_kind, file_id, record_id, rec_key, name, kind, value_kind, text, number, truth).
 
     A value is cast to its column's promoted kind: ``number`` and ``truth`` hold those of kind number and boolean and are
     null for the others; strings, arrays and objects (as JSON) are in ``text``, which has the canonical text of numbers and
-    booleans too. A record without a field has no row for it; one without any, or whose payload is no JSON object, has one
-    row without name and value.
+    booleans too, and ``value_kind`` is the value's own kind, by which a variant column is read. A record without a field
+    has no row for it; one without any, or whose payload is no JSON object, has one row without name and value.
     """
-    long = fields(records)
-    names = canonical_names(files, changes(files, records))
-    schema = union_schema(files, long, names)
-    placed = long.join(files.select("file_id", "feature_kind"), "file_id").join(names, ["feature_kind", "field"], "left").withColumn("name", F.coalesce("name", "field")).drop("kind", "field")
+    schemas, odd_files = file_schemas(records)
+    names = canonical_names(files, _changes(files, records, schemas, odd_files))
+    schema = union_schema(files, schemas, names)
+    placed = fields(records, odd_files).withColumnRenamed("kind", "value_kind").join(files.select("file_id", "feature_kind"), "file_id").join(names, ["feature_kind", "field"], "left").withColumn("name", F.coalesce("name", "field")).drop("field")
     text = F.col("text")
     number, truth = (F.when(F.col("kind") == k, text.try_cast(t)) for k, t in (("number", "double"), ("boolean", "boolean")))
-    valued = placed.join(schema.drop("n_files"), ["feature_kind", "name"]).select("feature_kind", "file_id", "record_id", "rec_key", "name", "kind", "text", number.alias("number"), truth.alias("truth"))
+    valued = placed.join(schema.drop("n_files"), ["feature_kind", "name"]).select("feature_kind", "file_id", "record_id", "rec_key", "name", "kind", "value_kind", "text", number.alias("number"), truth.alias("truth"))
     without = records.filter(F.coalesce(F.size(F.json_object_keys("payload")), F.lit(-1)) <= 0).join(files.select("file_id", "feature_kind"), "file_id")
     return valued.unionByName(without.select("feature_kind", "file_id", "record_id", "rec_key"), allowMissingColumns=True)

@@ -116,8 +116,8 @@ select 'raw_gtf' as raw_table, line_id, reason from g4 where reason is not null
 ORACLE["p2_loaded_gtf"] = f"""{_P2_SQL} select line_id, cells[1] as seqid, cells[2] as source, kind as entry_type, try_cast(s as bigint) as start_pos, try_cast(e as bigint) as end_pos, strand,
   raw[list_position(ks, 'gene_id')] as gene_id, raw[list_position(ks, 'transcript_id')] as transcript_id, len(ks) as n_attributes from g4 where reason is null"""
 ORACLE["p2_loaded_manifest"] = f"""{_P2_SQL} select line_id, vs[list_position(hs, 'file')] as source_file, case when lower(coalesce(vs[list_position(hs, 'type')], '')) in ('', '.') then 'sample' else lower(vs[list_position(hs, 'type')]) end as entry_type from m5 where reason is null"""
-ORACLE["p4_found"] = f"""
-with f as (select file_id, lag(file_id) over (partition by provider, feature_kind order by delivered_at, file_id) as prev from feed_file),
+_P4_SQL = f"""
+with recursive f as (select file_id, lag(file_id) over (partition by provider, feature_kind order by delivered_at, file_id) as prev from feed_file),
 k as (select record_id, file_id, rec_key, payload, unnest(json_keys(payload)) as field from feed_record),
 l as (select file_id, rec_key, field, case json_type(payload, '$."' || field || '"') when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as kind, json_extract_string(payload, '$."' || field || '"') as v from k),
 s as (select file_id, field, coalesce(string_agg(distinct kind, ',' order by kind), '') as kinds from l group by 1, 2),
@@ -127,8 +127,20 @@ c as (select o.file_id, o.field as old_field, n.field as new_field, count(*) as
       join l a on a.file_id = o.prev and a.field = o.field and a.v is not null and a.kind is not null join l b on b.file_id = n.file_id and b.field = n.field and b.rec_key = a.rec_key and b.v is not null and b.kind is not null group by 1, 2, 3),
 b as (select *, row_number() over (partition by file_id, old_field order by same / n desc, n desc, new_field) as ro, row_number() over (partition by file_id, new_field order by same / n desc, n desc, old_field) as rn from c where same * 10 >= n * {drift.RENAME_TENTHS}),
 r as (select file_id, old_field, new_field from b where ro = 1 and rn = 1)
+"""
+ORACLE["p4_found"] = f"""{_P4_SQL}
 select file_id, 'renamed' as change_kind, old_field, new_field from r
 union all select r.file_id, 'type_changed', old_field, new_field from r join d o on o.file_id = r.file_id and o.field = old_field join (select file_id as fid, field as nf, now as nn from d) n on fid = r.file_id and nf = new_field where o.was <> '' and nn <> '' and o.was <> nn
 union all select file_id, 'removed', field, '' from d where now is null and (file_id, field) not in (select file_id, old_field from r)
 union all select file_id, 'added', '', field from d where was is null and (file_id, field) not in (select file_id, new_field from r)
 union all select file_id, 'type_changed', field, field from d where now <> '' and was <> '' and now <> was"""
+ORACLE["p4_unified"] = f"""{_P4_SQL},
+ed as (select distinct feature_kind, old_field as a, new_field as b from r join feed_file using (file_id)), bo as (select feature_kind, a, b from ed union select feature_kind, b, a from ed),
+rc as (select feature_kind, a as field, a as other from bo union select rc.feature_kind, field, b from rc join bo on bo.feature_kind = rc.feature_kind and bo.a = rc.other), nm as (select feature_kind, field, min(other) as name from rc group by 1, 2),
+va as (select feature_kind, k.file_id, record_id, rec_key, coalesce(name, k.field) as name, case json_type(payload, '$."' || k.field || '"') when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as value_kind,
+  json_extract_string(payload, '$."' || k.field || '"') as raw from k join feed_file using (file_id) left join nm using (feature_kind, field)),
+ty as (select feature_kind, name, count(distinct value_kind) as k, bool_or(value_kind in ('array', 'object')) as deep, min(value_kind) as one from va group by 1, 2),
+un as (select feature_kind, file_id, record_id, rec_key, name, case when k = 0 then 'null' when k = 1 then one when deep then 'variant' else 'string' end as kind, value_kind,
+  case when value_kind is null then null when value_kind = 'number' then regexp_replace(cast(cast(raw as decimal(38, 9)) as varchar), '\\.?0+$', '') else raw end as text, raw from va join ty using (feature_kind, name))
+select feature_kind, file_id, record_id, rec_key, name, kind, value_kind, text, case when kind = 'number' then try_cast(raw as double) end as number, case when kind = 'boolean' then try_cast(raw as boolean) end as truth from un
+union all select feature_kind, file_id, record_id, rec_key, null, null, null, null, null, null from feed_record join feed_file using (file_id) where coalesce(len(json_keys(payload)), 0) = 0"""

@@ -91,3 +91,19 @@ def test_fields_of_equal_values_are_all_renamed(spark):
 def test_previous_file_over_days_without_any(spark):
     f = spark.createDataFrame([(1, "p", "e", dt.datetime(2024, 1, 1), "", 0, ""), (2, "p", "e", dt.datetime(2024, 3, 1), "", 0, ""), (3, "p", "e", dt.datetime(2024, 3, 1), "", 0, ""), (4, "q", "e", dt.datetime(2024, 3, 1), "", 0, "")], FILES)
     assert sorted((r["file_id"], r["prev_id"] or 0) for r in drift.with_previous(f).collect()) == [(1, 0), (2, 1), (3, 2), (4, 0)]
+
+
+def test_lattice(spark):
+    cases = {(): "null", ("number",): "number", ("array",): "array", ("boolean", "number"): "string", ("number", "string"): "string", ("array", "number"): "variant", ("array", "object"): "variant"}
+    df = spark.createDataFrame([(list(k), v) for k, v in cases.items()], "k array<string>, v string")
+    assert all(r["v"] == r["p"] for r in df.withColumn("p", drift.promoted(df["k"])).collect())
+
+
+def test_columns_follow_long_chains_of_renames_and_keep_own_kinds(spark):
+    """Eight renames in a row, met in any order, are one column; a column of arrays and numbers is a variant, one without values null."""
+    names = ["n5", "n8", "n2", "n7", "n1", "n9", "n3", "n6", "n4"]
+    feed = {n: {f"k{i}": {name: f"v{i}", "mixed": [1] if n % 2 else i, "void": None} for i in range(4)} for n, name in enumerate(names, 1)}
+    out = drift.unified(*setup(spark, feed)).collect()
+    assert {r["name"] for r in out} == {"n1", "mixed", "void"}
+    assert {(r["kind"], r["value_kind"]) for r in out if r["name"] == "mixed"} == {("variant", "array"), ("variant", "number")}
+    assert {(r["kind"], r["text"]) for r in out if r["name"] == "void"} == {("null", None)}
