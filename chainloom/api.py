@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .functions.keys import gene_key, normalize_name, sequence_key
 from .functions.scalars import expression_value, is_main_chromosome, overlaps, parse_contrast, parse_region, structure_key
-from .operators import absorb, clusters, dtu, events, hubs, matcher, model, summary
+from .operators import absorb, clusters, contracts, dtu, events, hubs, matcher, model, summary
 from .operators.overlap import best_overlap
 from .plans.durable import durable
 from .sources import bam, files, gtf, index, manifest, sam
@@ -231,19 +231,20 @@ class Index:
             kept = summary.with_min_samples(s, min_samples).select("segment_id")
             s = model.Structures(s.members.join(kept, "segment_id", "left_semi").drop("segment_id", "segment_gene_id"), s.samples, s.genes)
         out = {
-            "overview": summary.overview(s), "per_sample": summary.per_sample(s, conserved_fraction), "per_source": summary.per_source(s), "biotype": summary.biotype_counts(s), "segment_sharing": summary.sharing_per_sample(s, conserved_fraction),
-            "exon_sharing": summary.exon_sharing_per_sample(s, conserved_fraction), "conserved_segments": summary.conserved_segments(s, conserved_fraction), "conserved_exons": summary.conserved_exons(s, conserved_fraction),
+            "overview": summary.overview(s), "per_sample": contracts.per_sample(s, conserved_fraction), "per_source": summary.per_source(s), "biotype": summary.biotype_counts(s), "segment_sharing": summary.sharing_per_sample(s, conserved_fraction),
+            "exon_sharing": contracts.exon_sharing(s, conserved_fraction), "conserved_segments": contracts.conserved_segments(s, conserved_fraction), "conserved_exons": contracts.conserved_exons(s, conserved_fraction), "exon_expression": summary.exon_expression(s),
             "constitutive_exons": summary.constitutive_exons(s), "gene_diversity": summary.gene_diversity(s), "expression": summary.expression_per_sample(s), "splicing_hubs": hubs.hubs(s, min_hub_branches), "hub_samples": hubs.hub_samples(s, min_hub_branches), "branch_details": hubs.branch_details(s, min_hub_branches),
         }
         if with_events:
-            out |= {"splicing_events": events.events(s), "event_psi": events.event_psi(s), "event_types": events.event_types(s)}
+            found = durable(events.events(s))
+            out |= {"splicing_events": contracts.splicing_events(s, found), "event_psi": events.event_psi(s), "event_types": events.event_types(s)}
         return out
 
     def query(self, transcripts: DataFrame, options: matcher.MatchOptions = matcher.MatchOptions(), contrasts: list[str] | None = None, fdr: float = 0.05) -> dict[str, DataFrame]:
         """Classify (query_id, seqid, strand, start_pos, end_pos, n_exons, chain), single-exon ones left out, and test usage for each ``a:b``."""
         s = self.structures
         found = matcher.classify(transcripts.filter("n_exons > 1"), s.segments, options)
-        out = {"classification": found, "summary": matcher.summarise(found), "presence": found.select("query_id", "segment_id").join(s.segment_samples, "segment_id").join(s.quant, ["segment_id", "sample_id"], "left")}
+        out = {"classification": found, "report": contracts.queried(s, found), "summary": matcher.summarise(found), "categories": contracts.category_table(found), "fragments": contracts.fragment_table(found), "presence": found.select("query_id", "segment_id").join(s.segment_samples, "segment_id").join(s.quant, ["segment_id", "sample_id"], "left")}
         for text in contrasts or []:
             a, b = parse_contrast(text)
             hit = found.filter(F.col("segment_id").isNotNull()).select(F.col("query_id").alias("transcript_id"), "gene_id", "segment_id")
@@ -262,7 +263,9 @@ class Index:
         q = multi.unionByName(single).withColumnRenamed("transcript_id", "query_id")
         found = matcher.classify(q, s.segments, options)
         weights = q.select("query_id", F.col("value").cast("long").alias("n_reads"))
-        return {"clusters": bounds, "representatives": clusters.representatives(clustered), "classification": found, "summary": matcher.summarise(found), "novel_junctions": matcher.novel_junctions(q, s.segments, options), "read_coverage": matcher.read_support(q, s.segments, weights, options), "novel": matcher.novel_segments(found, weights, min_novel_support)}
+        best, novel = clusters.representatives(clustered), matcher.novel_junctions(q, s.segments, options)
+        report = contracts.discovered(found, q, bounds, best, novel)
+        return {"clusters": bounds, "representatives": best, "classification": found, "report": report, "summary": matcher.summarise(found), "novel_junctions": novel, "read_coverage": matcher.read_support(q, s.segments, weights, options), "novel": matcher.novel_segments(found, weights, min_novel_support)}
 
     def export(self, sample_ids: list[int] | None = None, genes: list[str] | None = None, region: str | None = None, min_samples: int = 1, conserved_fraction: float | None = None, biotypes: list[str] | None = None, sources: list[str] | None = None, headers: bool = True) -> DataFrame:
         """GTF lines of each sample for the segments that pass all filters; write them with ``sources.gtf.write_per_sample``."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import building, matching, problems, structure
+from . import building, contracts, matching, problems, structure
 
-_MODULES = (problems, structure, matching, building)
+_MODULES = (problems, structure, matching, building, contracts)
 
 
 def queries() -> dict[str, Callable]:

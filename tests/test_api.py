@@ -100,6 +100,9 @@ def test_bam_reads_discover_and_build(spark, built, tmp_path):
     got = {r["category"]: r["n"] for r in out["summary"].groupBy("category").agg(F.sum("n").alias("n")).collect()}
     assert got == {"FSM": 1, "NNC": 1, "intergenic": 1}
     assert [r["read_coverage"] for r in out["read_coverage"].collect()] == [5] and out["novel"].count() == 1
+    report = {r["structural_category"]: r for r in out["report"].collect()}
+    assert set(report) == set(got) and report["FSM"]["read_count"] == 5 and report["FSM"]["junctions"] == "2260-3400,3710-5020,5290-7750" and report["FSM"]["ref_exons"] == 4 and report["FSM"]["novel_junctions"] is None
+    assert report["NNC"]["novel_junctions"] == "3910-5020" and report["NNC"]["representative_read"] == "n0" and report["intergenic"]["associated_gene"] is None
     rows = [{"file": str(d / "anno.gtf"), "id": "anno", "type": "annotation"}, {"file": path, "id": "b", "type": "sample"}]
     again = Index.build(spark, rows)
     assert {r["gene_id"] for r in again.structures.segments.collect()} == {"G1"}
