@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
+
 _KEY = "__key"
 
 
@@ -27,7 +29,8 @@ def key_counts(df: DataFrame, key: Column) -> DataFrame:
 
 def keys_above_share(df: DataFrame, key: Column, percent: int) -> DataFrame:
     """Keys that hold at least ``percent`` percent of all stored rows: (key_text, n_rows)."""
-    counts = key_counts(df, key)
+    # one row per key, read for the total and for the keys
+    counts = durable(key_counts(df, key))
     total = counts.agg(F.sum("n_rows")).scalar()
     return counts.filter(F.col("key_text").isNotNull() & (F.col("n_rows") * 100 >= total * percent))
 
