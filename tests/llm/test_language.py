@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from chainloom.llm import language
@@ -128,7 +130,7 @@ def test_priors_joined_by_shuffle_are_the_same(spark):
 
 
 def test_temperature_is_below_one_where_pieces_mislead():
-    rng = __import__("random").Random(5)
+    rng = random.Random(5)
     words = {"a": [f"ka{x}n" for x in "aeiou"], "b": [f"ka{x}m" for x in "aeiou"]}
     texts = [(lang, " ".join(rng.choice(words[lang] if rng.random() < 0.7 else words["ab".replace(lang, "")]) for _ in range(6))) for lang in "ab" for _ in range(60)]
     model = language.fitted(texts)
