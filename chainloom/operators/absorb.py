@@ -81,7 +81,7 @@ def missing_ends(child: list, parent: list, strand: str, tolerance: int) -> tupl
         if near == 0 and n == m:
             continue
         for k in offsets:
-            if all(_close(c, parent[k + i], near) for i, c in enumerate(child)):
+            if _close(child[0], parent[k], near) and all(_close(c, p, near) for c, p in zip(child, parent[k : k + n])):
                 low, high = k, m - n - k
                 return (low, high) if strand == "+" else (high, low)
     return None
@@ -120,19 +120,63 @@ def mono_exon_class(exon: tuple[int, int], chains: list[list]) -> str:
     return "gene_overlap" if overlap else "intergenic"
 
 
+#: Two neighbouring exons of a chain: (start, end, start, end).
+Edge = tuple[int, int, int, int]
+
+
+class Edges:
+    """Which segments hold an edge, as bits of their slots, so that the edges of a chain are met by a few operations on whole sets."""
+
+    def __init__(self, tolerance: int) -> None:
+        self.tolerance, self.width = tolerance, tolerance + 1
+        self.cells: dict[tuple[int, int], dict[Edge, int]] = {}
+
+    def _cell(self, e: Edge) -> tuple[int, int]:
+        return e[0] // self.width, e[2] // self.width
+
+    def add(self, e: Edge, bit: int) -> None:
+        cell = self.cells.setdefault(self._cell(e), {})
+        cell[e] = cell.get(e, 0) | bit
+
+    def remove(self, e: Edge, bit: int) -> None:
+        at = self._cell(e)
+        cell = self.cells[at]
+        cell[e] &= ~bit
+        if not cell[e]:
+            del cell[e]
+        if not cell:
+            del self.cells[at]
+
+    def near(self, e: Edge) -> int:
+        """The segments that hold an edge whose four positions are near those of ``e``."""
+        (x, y), (p, q, r, s), t, found = self._cell(e), e, self.tolerance, 0
+        for a in (x - 1, x, x + 1):
+            for b in (y - 1, y, y + 1):
+                if cell := self.cells.get((a, b)):
+                    for (u, v, w, z), bits in cell.items():
+                        if -t <= u - p <= t and -t <= v - q <= t and -t <= w - r <= t and -t <= z - s <= t:
+                            found |= bits
+        return found
+
+
 class Locus:
     """Live structures of one locus in order of arrival, with the indexes that find the few that a new one can relate to.
 
-    An absorbed structure leaves all indexes at once, so that they grow with what is alive.
+    An absorbed structure leaves all indexes at once, so that they grow with what is alive. Live structures of several
+    exons have a slot each, which is free again when they go.
     """
 
     def __init__(self, options: AbsorbOptions) -> None:
         self.o, self.made = options, 0
-        self.width = options.fuzzy_tolerance + 1
         # by creation number, within each key
         self.by_introns: dict[tuple, dict[int, Segment]] = {}
-        self.by_exons: dict[tuple[int, int], dict[int, Segment]] = {}
-        self.by_first: dict[tuple[int, int], dict[int, Segment]] = {}
+        self.slots: list[Segment | None] = []
+        self.free: list[int] = []
+        self.slot_of: dict[int, int] = {}
+        # slots by edge, by edge at the n-th place of the chain, and by the number of edges
+        self.edges = Edges(options.fuzzy_tolerance)
+        self.edges_at: list[Edges] = []
+        self.n_edges: list[int] = []
         self.live: dict[int, Segment] = {}
         # spans of all and of annotated segments; exons and introns of multi-exon ones
         self.spans, self.annotated = Spans(), Spans()
@@ -142,15 +186,42 @@ class Locus:
     def _introns(chain: list) -> tuple:
         return (chain[0][1], *chain[1:-1], chain[-1][0])
 
-    def _near(self, index: dict[tuple[int, int], dict[int, Segment]], one: tuple, two: tuple) -> dict[int, Segment]:
-        """Segments indexed under two neighbouring exons whose starts are near those of ``one`` and ``two``."""
-        a, b = one[0] // self.width, two[0] // self.width
-        found: dict[int, Segment] = {}
-        for x in (a - 1, a, a + 1):
-            for y in (b - 1, b, b + 1):
-                found |= index.get((x, y), {})
+    @staticmethod
+    def _edges(chain: list) -> list[Edge]:
+        return [(*a, *b) for a, b in zip(chain, chain[1:])]
+
+    def _in_slots(self, bits: int) -> dict[int, Segment]:
+        """The segments of the slots, by creation number."""
+        found = {}
+        for k, byte in enumerate(bits.to_bytes((bits.bit_length() + 7) // 8, "little")):
+            while byte:
+                low = byte & -byte
+                s = self.slots[8 * k + low.bit_length() - 1]
+                found[s.creation] = s
+                byte ^= low
         return found
 
+    def _holders(self, chain: list) -> dict[int, Segment]:
+        """Segments that hold all edges of ``chain``, nearly: those of which it can be a run are among them."""
+        bits = -1
+        for e in self._edges(chain):
+            bits &= self.edges.near(e)
+            if not bits:
+                return {}
+        return self._in_slots(bits)
+
+    def _runs(self, chain: list) -> dict[int, Segment]:
+        """Segments of several exons that are a run of ``chain``, nearly."""
+        edges, found = self._edges(chain), 0
+        for k in range(len(edges)):
+            bits = -1
+            for at, e in zip(range(min(len(edges) - k, len(self.edges_at))), edges[k:]):
+                bits &= self.edges_at[at].near(e)
+                if not bits:
+                    break
+                found |= bits & self.n_edges[at]
+        return self._in_slots(found)
+
     def _sorted(self, found: dict[int, Segment], chain: list) -> list[Segment]:
         start, end = chain[0][0], max(e for _, e in chain)
         return sorted((s for s in found.values() if s.start < end and s.end > start), key=lambda s: (s.start, s.end, s.creation))
@@ -180,7 +251,7 @@ class Locus:
                 return f"dropped_mono_{kind}", None, gene
         if several and self.o.absorb:
             best, how = None, None
-            for s in self._sorted(self._near(self.by_exons, chain[0], chain[1]), chain):
+            for s in self._sorted(self._holders(chain), chain):
                 kind = relation(chain, s.chain, strand, self.o.fuzzy_tolerance)
                 if kind == "fsm":
                     return self._merged(s, loose, "merged_fuzzy")
@@ -204,13 +275,6 @@ class Locus:
         self._keep(new)
         return "created", new, gene
 
-    def _keys(self, s: Segment) -> Iterator[tuple[dict, tuple]]:
-        yield self.by_introns, self._introns(s.chain)
-        cells = [x // self.width for x, _ in s.chain]
-        yield self.by_first, (cells[0], cells[1])
-        for pair in set(zip(cells, cells[1:])):
-            yield self.by_exons, pair
-
     def _keep(self, new: Segment) -> None:
         self.made += 1
         self.live[new.creation] = new
@@ -218,21 +282,52 @@ class Locus:
         if new.loose:
             self.annotated.add(new.span)
         if len(new.chain) > 1:
-            for index, key in self._keys(new):
-                index.setdefault(key, {})[new.creation] = new
+            self.by_introns.setdefault(self._introns(new.chain), {})[new.creation] = new
+            self._take_slot(new)
             for exon in new.chain:
                 self.exons.hold(*exon)
             for a, b in zip(new.chain, new.chain[1:]):
                 self.introns.hold(a[1], b[0])
 
+    def _take_slot(self, new: Segment) -> None:
+        if self.free:
+            slot = self.free.pop()
+            self.slots[slot] = new
+        else:
+            slot = len(self.slots)
+            self.slots.append(new)
+        self.slot_of[new.creation] = slot
+        edges, bit = self._edges(new.chain), 1 << slot
+        while len(self.edges_at) < len(edges):
+            self.edges_at.append(Edges(self.o.fuzzy_tolerance))
+            self.n_edges.append(0)
+        for at, e in enumerate(edges):
+            self.edges.add(e, bit)
+            self.edges_at[at].add(e, bit)
+        self.n_edges[len(edges) - 1] |= bit
+
+    def _leave_slot(self, old: Segment) -> None:
+        slot = self.slot_of.pop(old.creation)
+        edges, bit = self._edges(old.chain), 1 << slot
+        for at, e in enumerate(edges):
+            self.edges_at[at].remove(e, bit)
+        for e in set(edges):
+            self.edges.remove(e, bit)
+        self.n_edges[len(edges) - 1] &= ~bit
+        self.slots[slot] = None
+        self.free.append(slot)
+
     def _forget(self, old: Segment, into: Segment | None) -> None:
         old.absorbed, old.into = True, into
         del self.live[old.creation]
         self.spans.remove(old.span)
         if old.loose:
             self.annotated.remove(old.span)
-        for index, key in self._keys(old):
-            del index[key][old.creation]
+        key = self._introns(old.chain)
+        del self.by_introns[key][old.creation]
+        if not self.by_introns[key]:
+            del self.by_introns[key]
+        self._leave_slot(old)
         for exon in old.chain:
             self.exons.release(*exon)
         for a, b in zip(old.chain, old.chain[1:]):
@@ -249,9 +344,7 @@ class Locus:
         """Called before ``new`` is kept, so that its flags may still change."""
         if len(new.chain) < 2:
             return
-        found = dict(self.by_introns.get(self._introns(new.chain), {}))
-        for one, two in zip(new.chain, new.chain[1:]):
-            found |= self._near(self.by_first, one, two)
+        found = self.by_introns.get(self._introns(new.chain), {}) | self._runs(new.chain)
         new_is_annotation = new.loose
         for old in self._sorted(found, new.chain):
             kind = "fsm" if is_terminal_variant(old.chain, new.chain) else relation(old.chain, new.chain, new.strand, self.o.fuzzy_tolerance)

@@ -255,3 +255,19 @@ def test_values_move_along_chains(spark):
     assert {k: ends.pop(k) for k in "OPQR"} == {"O": "P", "P": "Q", "Q": "R", "R": "P"} and set(ends.values()) == {"n0700"} and len(ends) == 700
     dropped = spark.createDataFrame([("D",), ("A",)], "segment_id string")
     assert {tuple(r) for r in quant.merge(q, closed, dropped).collect()} == {("C", 1, 30.0), ("C", 2, 1.0), ("E", 1, 9.0)}
+
+
+def test_arrivals_are_compared_with_few_of_a_deep_locus(monkeypatch):
+    """All structures share their first two exons; only runs of one another are compared."""
+    calls = []
+    real = absorb.relation
+    monkeypatch.setattr(absorb, "relation", lambda *a: calls.append(1) or real(*a))
+    locus = absorb.Locus(absorb.AbsorbOptions())
+    first = [(100, 200), (300, 400)]
+    for k in range(300):
+        chain = [*first, (1000 + 50 * k, 1010 + 50 * k), (50_000 + 50 * k, 50_010 + 50 * k)]
+        assert locus.arrive(f"s{k}", chain, "+", "g", False, False)[0] == "created"
+    assert locus.arrive("part", [*first, (1000, 1010)], "+", "g", False, False)[0] == "created"
+    # lacks the first two exons of the hundredth
+    assert locus.arrive("end", [(6000, 6010), (55_000, 55_010)], "+", "g", False, False)[0] == "merged_3prime"
+    assert len(calls) < 10
