@@ -32,7 +32,7 @@ from .spans import CountedSpans, Spans
 TERMINAL_TOLERANCE = 50
 MAX_MISSING_EXONS = 2
 
-DECISIONS = "structure string, decision string, target string, gene_id string, absorbed boolean, absorbed_into string, absorbed_count int, creation int"
+DECISIONS = "structure string, decision string, target string, gene_id string, absorbed boolean, absorbed_into string, absorbed_count int, creation int, first_id string, n_transcripts bigint"
 
 
 @dataclass(frozen=True)
@@ -358,33 +358,33 @@ class Locus:
 
 def _folder(options: AbsorbOptions):
     def fold(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
-        """Rows of (seqid, strand, locus_start, structure, gene_id, is_strict, is_loose, arrival) in order of arrival.
+        """Rows of (seqid, strand, locus_start, structure, gene_id, is_strict, is_loose, arrival, first_id, n_transcripts) in order of arrival.
 
         Dropped structures leave at once; the others wait for the end of the locus, as their target may yet be absorbed.
         """
         locus, waiting = Locus(options), []
-        for _, strand, _, structure, gene, strict, loose, _ in rows:
+        for _, strand, _, structure, gene, strict, loose, _, *own_rows in rows:
             chain = [tuple(map(int, x.split("-"))) for x in structure.rsplit(":", 1)[1].split(",")]
             decision, target, gene = locus.arrive(structure, chain, strand, gene, bool(strict), bool(loose))
             if target is None:
-                yield structure, decision, None, gene, False, None, 0, -1
+                yield structure, decision, None, gene, False, None, 0, -1, *own_rows
             else:
-                waiting.append((structure, decision, target))
-        for structure, decision, target in waiting:
+                waiting.append((structure, decision, target, own_rows))
+        for structure, decision, target, own_rows in waiting:
             end = target
             while end.into is not None:
                 end = end.into
             own = target if decision == "created" else None
             yield (
                 structure, decision, None if end.absorbed else end.structure, end.gene,
-                bool(own and own.absorbed), own.into.structure if own and own.into else None, own.swallowed if own else 0, own.creation if own else -1,
+                bool(own and own.absorbed), own.into.structure if own and own.into else None, own.swallowed if own else 0, own.creation if own else -1, *own_rows,
             )
 
     return fold
 
 
 def arrivals(transcripts: DataFrame, samples: DataFrame) -> DataFrame:
-    """Distinct structures with the flags of their first arrival: (structure, seqid, strand, start_pos, end_pos, n_exons, gene_id, is_strict, is_loose, arrival).
+    """Distinct structures with the flags of their first arrival: (structure, seqid, strand, start_pos, end_pos, n_exons, gene_id, is_strict, is_loose, arrival, first_id, n_transcripts).
 
     ``transcripts`` may have ``block_line`` and ``line_no``, the first lines of the gene's block and of the transcript in the
     file of its sample; samples are numbered in the order of their files.
@@ -397,8 +397,8 @@ def arrivals(transcripts: DataFrame, samples: DataFrame) -> DataFrame:
         (-F.col("n_exons")).alias("fewer"), F.coalesce("line_no", F.lit(0)).cast("long").alias("line"), "transcript_id",
     )
     first = F.min_by(F.struct("gene_id", "is_annotation", "is_annotation_loose"), order).alias("f")
-    rows = t.groupBy("structure", "seqid", "strand", "start_pos", "end_pos", "n_exons").agg(first, F.min(order).alias("arrival"), F.bool_or("is_annotation_loose").alias("is_loose"))
-    return rows.select("structure", "seqid", "strand", "start_pos", "end_pos", "n_exons", F.col("f.gene_id").alias("gene_id"), F.col("f.is_annotation").alias("is_strict"), "is_loose", "arrival")
+    rows = t.groupBy("structure", "seqid", "strand", "start_pos", "end_pos", "n_exons").agg(first, F.min(order).alias("arrival"), F.bool_or("is_annotation_loose").alias("is_loose"), F.min("transcript_id").alias("first_id"), F.count(F.lit(1)).alias("n_transcripts"))
+    return rows.select("structure", "seqid", "strand", "start_pos", "end_pos", "n_exons", F.col("f.gene_id").alias("gene_id"), F.col("f.is_annotation").alias("is_strict"), "is_loose", "arrival", "first_id", "n_transcripts")
 
 
 def decide(transcripts: DataFrame, samples: DataFrame, options: AbsorbOptions = AbsorbOptions()) -> DataFrame:
@@ -411,14 +411,13 @@ def decide(transcripts: DataFrame, samples: DataFrame, options: AbsorbOptions =
         return F.lpad(c.cast("string"), n, "0")
 
     text = F.concat_ws("\t", F.when(a["sampled"], "1").otherwise("0"), padded(a["file"], 11), padded(a["block"], 12), a["gene"], padded(F.lit(10**6) + a["fewer"], 8), padded(a["line"], 12), a["transcript_id"])
-    rows = located.select("seqid", "strand", "locus_start", "structure", "gene_id", "is_strict", "is_loose", text.alias("arrival"))
+    rows = located.select("seqid", "strand", "locus_start", "structure", "gene_id", "is_strict", "is_loose", text.alias("arrival"), "first_id", "n_transcripts")
     return fold_groups(rows, ["seqid", "strand", "locus_start"], ["arrival", "structure"], _folder(options), DECISIONS)
 
 
 def transcript_decisions(transcripts: DataFrame, decided: DataFrame) -> DataFrame:
     """Every transcript with its decision; all but the first of a created structure are ``merged_exact``."""
-    first = transcripts.groupBy("structure").agg(F.min("transcript_id").alias("first_id"))
-    rows = transcripts.select("transcript_id", "structure", "sample_id").join(decided, "structure").join(first, "structure")
+    rows = transcripts.select("transcript_id", "structure", "sample_id").join(decided.select("structure", "decision", "target", "gene_id", "first_id"), "structure")
     repeat = (F.col("decision") == "created") & (F.col("transcript_id") != F.col("first_id"))
     return rows.withColumn("decision", F.when(repeat, "merged_exact").otherwise(F.col("decision"))).select("transcript_id", "structure", "sample_id", "decision", "target", "gene_id")
 
@@ -443,11 +442,20 @@ def counters(decisions: DataFrame, decided: DataFrame, before: DataFrame | None
     return parts.unionByName(every).groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
+def fold_counters(decided: DataFrame) -> DataFrame:
+    """As ``counters``, from the decisions alone: these know how many transcripts have each structure, which are not read again."""
+    n, decision = F.col("n_transcripts"), F.col("decision")
+    merged = F.when(decision.startswith("merged"), n).when(decision == "created", n - 1).otherwise(0)
+    dropped = F.when(decision.startswith("dropped"), n).otherwise(0)
+    sums = {"input": F.sum(n), "merged": F.sum(merged), "discarded": F.sum(dropped), "absorbed": F.count_if("absorbed"), "scaffold": F.lit(0)}
+    return decided.agg(*(F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in sums.items())).unpivot([], list(sums), "outcome", "n")
+
+
 def live_segments(decided: DataFrame, transcripts: DataFrame) -> DataFrame:
     """(structure, gene_id, n_transcripts, n_samples) of the structures that are left, with all they took in."""
     kept = transcript_decisions(transcripts, decided).filter("target is not null")
-    counts = kept.groupBy(F.col("target").alias("structure")).agg(F.count(F.lit(1)).alias("n_transcripts"), F.countDistinct("sample_id").alias("n_samples"))
-    return counts.join(decided.filter("not absorbed").select("structure", "gene_id"), "structure")
+    # all that a live structure took in have its gene
+    return kept.groupBy(F.col("target").alias("structure")).agg(F.count(F.lit(1)).alias("n_transcripts"), F.countDistinct("sample_id").alias("n_samples"), F.min("gene_id").alias("gene_id")).select("structure", "gene_id", "n_transcripts", "n_samples")
 
 
 def tombstones(decided: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import expression_value, junctions, parse_region
 from ..operators import absorb, clusters, model, quant, summary
-from ..plans.durable import durable
 from ..plans.tables import table
 from ..sources import gtf
 from . import folds, structure
@@ -30,8 +29,7 @@ def absorb_decisions(s: model.Structures) -> DataFrame:
 
 
 def absorb_counters(s: model.Structures) -> DataFrame:
-    decided = durable(_decided(s))
-    return absorb.counters(absorb.transcript_decisions(s.transcripts, decided), decided)
+    return absorb.fold_counters(_decided(s))
 
 
 def absorb_segments(s: model.Structures) -> DataFrame:

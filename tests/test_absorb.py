@@ -271,3 +271,11 @@ def test_arrivals_are_compared_with_few_of_a_deep_locus(monkeypatch):
     # lacks the first two exons of the hundredth
     assert locus.arrive("end", [(6000, 6010), (55_000, 55_010)], "+", "g", False, False)[0] == "merged_3prime"
     assert len(calls) < 10
+
+
+def test_fold_counters_are_the_counters(spark):
+    t, samples = tables(spark, [c for c in some_chains(60, 3) for _ in range(2)])
+    t = t.withColumn("strand", F.lit("+")).withColumn("seqid", F.lit("chr1"))
+    decided = absorb.decide(t, samples).cache()
+    both = [{r["outcome"]: r["n"] for r in df.collect()} for df in (absorb.counters(absorb.transcript_decisions(t, decided), decided), absorb.fold_counters(decided))]
+    assert both[0] == both[1] and both[1]["input"] == 120
