@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import gene_key, sequence_key
@@ -35,8 +35,8 @@ def transcript_rows(transcripts: DataFrame) -> DataFrame:
 
 
 def exon_rows(exons: DataFrame) -> DataFrame:
-    """Distinct usable (transcript_id, start_pos, end_pos)."""
-    return exons.select("transcript_id", "start_pos", "end_pos").dropna().filter(F.col("start_pos") <= F.col("end_pos")).distinct()
+    """Distinct usable (transcript_id, start_pos, end_pos), shuffled once for this and for the chains."""
+    return exons.select("transcript_id", "start_pos", "end_pos").dropna().filter(F.col("start_pos") <= F.col("end_pos")).repartition("transcript_id").distinct()
 
 
 def with_chains(transcripts: DataFrame, exons: DataFrame) -> DataFrame:
@@ -51,13 +51,13 @@ def with_chains(transcripts: DataFrame, exons: DataFrame) -> DataFrame:
     })
 
 
-def segments_of(transcripts: DataFrame) -> DataFrame:
+def segments_of(transcripts: DataFrame, *more: Column) -> DataFrame:
     """Exact structures, named after the smallest transcript that has the structure itself: (segment_id, seqid, strand, start_pos, end_pos, n_exons, gene_id, gene_name, n_transcripts, chain)."""
     keys = ["structure", "seqid", "strand", "start_pos", "end_pos", "n_exons"]
     # transcripts that only joined a segment do not name it, so that a segment keeps its id whatever it takes in
     named = F.coalesce(F.min(F.when(F.col("is_own"), F.col("transcript_id"))), F.min("transcript_id")) if "is_own" in transcripts.columns else F.min("transcript_id")
     return transcripts.groupBy(*keys).agg(
-        named.alias("segment_id"), F.min("gene_id").alias("gene_id"), F.min("gene_name").alias("gene_name"), F.count(F.lit(1)).alias("n_transcripts"), F.min("chain").alias("chain")
+        named.alias("segment_id"), F.min("gene_id").alias("gene_id"), F.min("gene_name").alias("gene_name"), F.count(F.lit(1)).alias("n_transcripts"), F.min("chain").alias("chain"), *more
     )
 
 

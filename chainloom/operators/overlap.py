@@ -8,6 +8,8 @@ bin is an equi-join key, which adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +51,26 @@ def overlap_length(a0: str, a1: str, b0: str, b1: str) -> Column:
     return F.least(F.col(a1), F.col(b1)) - F.greatest(F.col(a0), F.col(b0))
 
 
+def first_by_span(a: DataFrame, b: DataFrame, on: list[str], b_id: str, a_span: tuple[str, str], b_span: tuple[str, str], order: Callable[[Column, Column], list[Column]], least: int = 0) -> DataFrame:
+    """(on, a_span, b_id, overlap): for each distinct span of ``a`` the ``b_id`` of the first overlapping row of ``b``.
+
+    ``order`` takes the overlap and the id. Equal spans of ``b`` are told apart by the id only, so that distinct spans are joined, and no pairs of rows.
+    """
+    (a0, a1), (b0, b1) = a_span, b_span
+    spans = a.select(*on, F.col(a0).alias("__a0"), F.col(a1).alias("__a1")).distinct()
+    others = b.groupBy(*on, F.col(b0).alias("__b0"), F.col(b1).alias("__b1")).agg(F.min(b_id).alias("__id"))
+    length = overlap_length("__a0", "__a1", "__b0", "__b1")
+    pairs = overlap_join(spans, others, on, ("__a0", "__a1"), ("__b0", "__b1")).withColumn("__length", length)
+    if least:
+        pairs = pairs.filter((F.col("__length") > 0) & (F.col("__length") >= least))
+    best = pairs.groupBy(*on, "__a0", "__a1").agg(F.min_by(F.struct("__id", "__length"), F.struct(*order(F.col("__length"), F.col("__id")))).alias("__top"))
+    return best.select(*on, F.col("__a0").alias(a0), F.col("__a1").alias(a1), F.col("__top.__id").alias(b_id), F.col("__top.__length").alias("overlap"))
+
+
 def best_overlap(a: DataFrame, b: DataFrame, on: list[str], a_id: str, b_id: str, a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
     """``a`` with the ``b_id`` of the longest overlap (ties: smallest ``b_id``), null where none overlaps."""
-    pairs = overlap_join(a.select(a_id, *on, *a_span), b.select(b_id, *on, *b_span), on, a_span, b_span)
-    best = pairs.groupBy(a_id).agg(F.min_by(b_id, F.struct(-overlap_length(*a_span, *b_span), F.col(b_id))).alias(b_id), F.max(overlap_length(*a_span, *b_span)).alias("overlap"))
-    return a.join(best, a_id, "left")
+    best = first_by_span(a, b, on, b_id, a_span, b_span, lambda length, name: [-length, name])
+    return a.join(best, [*on, *a_span], "left")
 
 
 def locus_numbers(spans: DataFrame, on: list[str], start: str, end: str) -> DataFrame:

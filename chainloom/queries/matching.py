@@ -18,7 +18,7 @@ GROUPS = ("long-read RNA", "short-read RNA")
 def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, model.Structures]:
     s = model.load(spark, folder)
     queries = s.transcripts.filter(F.coalesce(F.col("source"), F.lit("")) != REFERENCE).withColumnRenamed("transcript_id", "query_id")
-    known = s.segments.join(s.segment_sources.filter(F.col("source") == REFERENCE).select("segment_id"), "segment_id", "left_semi")
+    known = model.segments_of(s.transcripts, F.coalesce(F.bool_or(F.col("source") == REFERENCE), F.lit(False)).alias("known")).filter("known").drop("known")
     return queries, known, s
 
 
@@ -55,9 +55,10 @@ def annotated_only(q: DataFrame, r: DataFrame) -> DataFrame:
 def gene_inheritance(spark: SparkSession, folder: str) -> DataFrame:
     """Gene a query takes over: that of the first overlapping reference segment (by start, end, id), else its own."""
     q, r, _ = _sides(spark, folder)
-    pairs = overlap_pairs(q, r).join(r.select("segment_id", F.col("gene_id").alias("ref_gene"), "start_pos", "end_pos"), "segment_id")
-    first = pairs.groupBy("query_id").agg(F.min_by("ref_gene", F.struct("start_pos", "end_pos", "segment_id")).alias("ref_gene"))
-    return q.select("query_id", F.col("gene_id").alias("own_gene")).join(first, "query_id", "left").select("query_id", F.coalesce("ref_gene", "own_gene").alias("gene_id"), F.col("ref_gene").isNotNull().alias("inherited"))
+    spans = q.select(*SPANS, "start_pos", "end_pos")
+    first = overlap.first_by_span(spans, r, SPANS, "segment_id", ("start_pos", "end_pos"), ("start_pos", "end_pos"), lambda _, name: [F.col("__b0"), F.col("__b1"), name])
+    genes = first.join(r.select("segment_id", F.col("gene_id").alias("ref_gene")), "segment_id").select(*SPANS, "start_pos", "end_pos", "ref_gene")
+    return q.select("query_id", *SPANS, "start_pos", "end_pos", F.col("gene_id").alias("own_gene")).join(genes, [*SPANS, "start_pos", "end_pos"], "left").select("query_id", F.coalesce("ref_gene", "own_gene").alias("gene_id"), F.col("ref_gene").isNotNull().alias("inherited"))
 
 
 def match_candidates(q: DataFrame, r: DataFrame) -> DataFrame:
